@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, wavelet
+from . import jaccard, packing, quality, warc, wavelet
 
 
 def queries() -> dict:
-    own = (packing.op4_vector_packing, wavelet.op5_wavelet_shards, quality.op8_quality_cascade)
+    own = (warc.op3_warc_normaliser, packing.op4_vector_packing, wavelet.op5_wavelet_shards, jaccard.op6_jaccard_groups, quality.op8_quality_cascade)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_cascade": quality.ORACLE}
+    return {"op3_warc_normaliser": warc.ORACLE, "op8_quality_cascade": quality.ORACLE}
