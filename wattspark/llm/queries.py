@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, warc, wavelet
+from . import jaccard, packing, pii, quality, warc, wavelet
 
 
 def queries() -> dict:
-    own = (warc.op3_warc_normaliser, packing.op4_vector_packing, wavelet.op5_wavelet_shards, jaccard.op6_jaccard_groups, quality.op8_quality_cascade)
+    own = (pii.op2_pii_boosting, warc.op3_warc_normaliser, packing.op4_vector_packing, wavelet.op5_wavelet_shards, jaccard.op6_jaccard_groups, quality.op8_quality_cascade)
     return {f.__name__: f for f in own}
 
 
