@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, neardup, packing, pii, quality, warc, wavelet
+from . import jaccard, neardup, packing, pieces, pii, quality, warc, wavelet
 
 
 def queries() -> dict:
-    own = (pii.op2_pii_boosting, warc.op3_warc_normaliser, packing.op4_vector_packing, wavelet.op5_wavelet_shards, jaccard.op6_jaccard_groups, neardup.op7_pruned_graph, quality.op8_quality_cascade)
+    own = (pii.op2_pii_boosting, warc.op3_warc_normaliser, packing.op4_vector_packing, wavelet.op5_wavelet_shards, jaccard.op6_jaccard_groups, neardup.op7_pruned_graph, quality.op8_quality_cascade, pieces.op10_suffix_pieces)
     return {f.__name__: f for f in own}
 
 

@@ -61,8 +61,13 @@ class ChunkEncoder:
         """(ids of all texts in a row, offsets), without end ids."""
         data, offsets = K.text_bytes(column)
         starts, ends = K.spans_of_chunks(data, offsets, self.keep_space)
+        ids, total = self.spans(data, starts, ends)
+        return ids, total[np.searchsorted(starts, offsets)]
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans in a row, where each span's begin, and their number)."""
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         hashes, check = (K.span_hashes(data, starts, ends, i, self.lower) for i in (0, 1))
         order = np.argsort(hashes)
         ranked = hashes[order]
@@ -87,7 +92,7 @@ class ChunkEncoder:
         out = K.gather(self.pool, place[group], size)
         total = np.concatenate([[0], np.cumsum(size)])
         self._remember(hashes[new], check[new], place[new], counts, width[new], len(ids))
-        return out, total[np.searchsorted(starts, offsets)]
+        return out, total
 
     def _remember(self, hashes, check, place, counts, width, n_ids) -> None:
         short = np.flatnonzero(width <= self.LONGEST)
