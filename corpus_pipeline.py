@@ -1,2 +1,51 @@
-STAGES = []
-def run(spark, sf_dir): return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""The corpus pipeline: quality rules, near duplicates, personal data, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), where docs is what the stage before it kept, and returns a
+DataFrame. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from wattspark.llm import jaccard, packing, pii, quality
+from wattspark.llm import textkit as K
+from wattspark.llm.tokens import tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(spark, docs, sf_dir):
+    """Drops the documents that the quality rules reject."""
+    return quality.quality_verdicts(docs).where("kept").select(*COLUMNS)
+
+
+def keep_distinct(spark, docs, sf_dir):
+    """Keeps the document with the smallest doc_id of each group of near duplicates; documents without an id stay."""
+    found = jaccard.components(docs)
+    spare = found.where("doc_id is not null and doc_id != component_id").select("doc_id")
+    return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact(spark, docs, sf_dir):
+    """Puts the kind in place of each span of personal data; n_chars follows."""
+    from pyspark.sql import functions as F
+
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint"))).select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """Packs the documents left into training sequences."""
+    return packing.pack_ids(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_distinct), ("pii", redact), ("packing", pack)]
+#: Near duplicates, trees and token ids are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """All stages over documents; each result is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = K.saved(stage(spark, docs, sf_dir), spark, f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
