@@ -18,10 +18,10 @@ def axes(channels: DataFrame) -> DataFrame:
     """(axis, values): distinct rates to 4 digits, f0 to 2, sets of quantities, appliances and datasets, as sorted texts."""
     pairs = F.array(
         F.struct(F.lit("fs").alias("axis"), F.bround("fs", 4).cast("string").alias("value")),
-        F.struct(F.lit("f0"), F.bround("f0", 2).cast("string")),
-        F.struct(F.lit("quantities"), F.concat_ws(",", "quantities")),
-        F.struct(F.lit("vocabulary"), F.col("appliance")),
-        F.struct(F.lit("dataset"), F.col("dataset")),
+        F.struct(F.lit("f0").alias("axis"), F.bround("f0", 2).cast("string").alias("value")),
+        F.struct(F.lit("quantities").alias("axis"), F.concat_ws(",", "quantities").alias("value")),
+        F.struct(F.lit("vocabulary").alias("axis"), F.col("appliance").alias("value")),
+        F.struct(F.lit("dataset").alias("axis"), F.col("dataset").alias("value")),
     )
     long = channels.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
     return long.distinct().groupBy("axis").agg(F.array_sort(F.collect_list("value")).alias("values"))
