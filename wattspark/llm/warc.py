@@ -128,7 +128,7 @@ def write_monolithic(pages, spark, folder: str):
             for batch in batches:
                 rows = {k: [] for k in ("file", "page_id", "payload_bytes", "payload_digest", "seq")}
                 for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                    out = out or fs.open_output_stream(f"{at}/{name}")
+                    out = out or fs.open_output_stream(f"{at}/{name}", compression=None)
                     payload = (html or "").encode()
                     found = digest(payload)
                     out.write(z.compress(record("response", page_id, url or "", payload, found, len(payload))))
@@ -166,7 +166,7 @@ def normalise(decided, spark, folder: str):
                 name = f"{file.rsplit('/', 1)[1].split('.')[0]}-{TaskContext.get().taskAttemptId()}.warc.gz"
                 fs, at = K.filesystem(file)
                 offset, index = 0, {k: [] for k in ("archive", "page_id", "offset", "length")}
-                with fs.open_input_stream(at) as source, out_fs.open_output_stream(f"{out_at}/{name}") as out:
+                with fs.open_input_stream(at, compression=None) as source, out_fs.open_output_stream(f"{out_at}/{name}", compression=None) as out:
                     for seq, (head, block) in enumerate(records(_Inflated(source))):
                         page_id, kind = _page(head["warc-record-id"]), "revisit" if seq in refers else "response"
                         z = zlib.compressobj(6, zlib.DEFLATED, 31)
