@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .text import Recordings
+from .text import Recordings, quantities
 
 FS, F0, SECONDS = 6000, 50.0, 2
 # RMS amperes, amplitudes of harmonics 1 to 3, and phase lag.
@@ -40,7 +40,7 @@ def example(spark: SparkSession) -> Recordings:
             total = total + 0.25 * current("laptop", F.col("k"))
         for name, i in [*((x, current(x, F.col("k"))) for x in loads), (None, total)]:
             meta.append(("example", house, "run_0", "submeter" if name else "mains", name, brand if name else None, None, float(FS), F0, 0.0))
-            parts.append(k.select(F.lit(house).alias("house"), F.lit(name).cast("string").alias("appliance"), "k", F.explode(F.array(F.struct(F.lit("v").alias("quantity"), voltage(F.col("k")).alias("x")), F.struct(F.lit("i"), i))).alias("s")).select("house", "appliance", "k", "s.*"))
+            parts.append(k.select(F.lit(house).alias("house"), F.lit(name).cast("string").alias("appliance"), "k", quantities(voltage(F.col("k")), i).alias("s")).select("house", "appliance", "k", "s.*"))
     channels = spark.createDataFrame(meta, "dataset string, house string, session string, kind string, appliance string, brand string, instance_id string, fs double, f0 double, t0 double")
     channels = channels.withColumn("channel_id", labels.channel_id("dataset", "house", "session", "appliance", "kind")).withColumn("instance_id", labels.instance_id("instance_id", "appliance", "brand", "dataset", "house", "session"))
     samples = parts[0]

@@ -38,6 +38,11 @@ def slug(label: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(label)), r"\s+", "_")
 
 
+def quantities(v: Column, i: Column) -> Column:
+    """Rows struct(quantity, x) of both."""
+    return F.explode(F.array(*(F.struct(F.lit(q).alias("quantity"), x.alias("x")) for q, x in (("v", v), ("i", i)))))
+
+
 def numbered_lines(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
     """Rows of headerless CSV files with their file and line number. Line numbers come from the position in the file's splits: monotonic ids
     grow along a file, and are numbered within it."""
@@ -59,7 +64,7 @@ def plaid(spark: SparkSession, path: str, metadata: str, fs: float | None = None
     sub = F.col("appliance").isNotNull()
     channels = meta.select("id", F.lit("plaid").alias("dataset"), F.coalesce("location", "campaign", F.lit("unknown")).alias("house"), F.col("id").alias("session"), F.when(sub, "submeter").otherwise("mains").alias("kind"), slug(F.col("appliance.type")).alias("appliance"), F.lower("appliance.brand").alias("brand"), F.lit(None).cast("string").alias("instance_id"), rate.alias("fs"), F.lit(60.0).alias("f0"), F.lit(0.0).alias("t0"), "appliances")
     channels = channels.withColumn("channel_id", labels.channel_id("dataset", "house", "session", "appliance", "kind"))
-    samples = lines.join(channels.select("id", "channel_id"), "id").select("channel_id", "k", F.explode(F.array(F.struct(F.lit("i").alias("quantity"), F.col("i").alias("x")), F.struct(F.lit("v"), F.col("v")))).alias("s")).select("channel_id", "k", "s.*")
+    samples = lines.join(channels.select("id", "channel_id"), "id").select("channel_id", "k", quantities(F.col("v"), F.col("i")).alias("s")).select("channel_id", "k", "s.*")
     counts = lines.groupBy("id").agg(F.count("*").alias("n"))
     numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)")), lambda x: x.cast("long"))
     acts = channels.where(~F.col("kind").eqNullSafe("submeter")).join(counts, "id").select("channel_id", "n", F.explode("appliances").alias("a")).select("channel_id", "n", slug(F.col("a.type")).alias("appliance"), numbers(F.col("a.on")).alias("on"), numbers(F.col("a.off")).alias("off"))
@@ -168,5 +173,5 @@ def hifda(spark: SparkSession, path: str, fs: float = 100_000.0) -> Recordings:
     mains = F.regexp_replace(F.lower("class"), "[^a-z]", "") == "emptygrid"
     meta = both.select("class", "stem").distinct().select("class", "stem", F.lit("hifda").alias("dataset"), F.lit("house_1").alias("house"), F.col("stem").alias("session"), F.when(mains, "mains").otherwise("submeter").alias("kind"), F.when(~mains, slug(F.regexp_replace("class", "-", "_"))).alias("appliance"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("string").alias("instance_id"), F.lit(fs).alias("fs"), F.lit(50.0).alias("f0"), F.lit(0.0).alias("t0"))
     meta = meta.withColumn("channel_id", labels.channel_id("dataset", "house", "session", "appliance", "kind"))
-    samples = both.join(meta.select("class", "stem", "channel_id"), ["class", "stem"]).select("channel_id", "k", F.explode(F.array(F.struct(F.lit("i").alias("quantity"), F.col("i").alias("x")), F.struct(F.lit("v"), F.col("v")))).alias("s")).select("channel_id", "k", "s.*")
+    samples = both.join(meta.select("class", "stem", "channel_id"), ["class", "stem"]).select("channel_id", "k", quantities(F.col("v"), F.col("i")).alias("s")).select("channel_id", "k", "s.*")
     return Recordings(meta.drop("class", "stem"), samples)
