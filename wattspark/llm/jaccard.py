@@ -2,13 +2,13 @@
 
 A document's set holds the 64-bit hashes of its distinct n-word shingles; documents with equal sets are one node. The steps:
 
-1. Tokens that a five-hundredth of all documents hold are found over the whole table (each task reports its own heavy
-   tokens; a token that heavy overall is heavy in some task). There are at most 500 times the mean set size of them.
+1. Tokens that about a five-hundredth of all documents hold are found over the whole table by lossy counts of each task, added up.
+   There are at most 500 times the mean set size of them.
 2. All other tokens travel once, packed as binary runs, to the task of their bucket, where those that one node alone
    holds fall out. Only nodes with enough shared tokens to reach the threshold at all go on.
 3. Nodes with one min-hash meet in chunks of bounded size; within a chunk, each node joins the first leader that it links to.
    A leader and its nodes are a group: its row holds the union of its tokens and its members. Leaders meet again under other
-   min-hashes, so that a family of any size becomes one component without its pairs.
+   min-hashes, in other chunks, so that a family of any size becomes one component, or a few, without its pairs.
 4. The matrix (token, group) holds the prefix tokens, rarest first, of each group's members. A node's prefix
    tokens bring it to the groups of other components that could hold a link; the overlap of the node with the group's
    union bounds every member's, and only groups that reach the threshold are opened and compared, member by member.
@@ -24,6 +24,7 @@ it names a component only if no other id is in it (null then). Repeated rows are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class Params:
     percent: int = 80
     heavy_share: int = 500
     chunk: int = 128
-    rounds: int = 3
+    rounds: int = 4
 
 
 def shingle_sets(column, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +136,17 @@ def heavy_tokens(found, p: Params) -> np.ndarray:
     return np.sort(rows.column("a").to_numpy().view(U64))
 
 
-PACKED = "kind int, bucket int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary"
+PACKED = "kind int, bucket int, hi binary, lo binary, sizes binary, counts binary, tokens binary, dfs binary"
+_PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hi", "lo", "sizes", "counts", "tokens", "dfs"))])
 
 
-def _packed(kind, bucket, hi, lo, sizes, counts, tokens, dfs=None):
-    return {"kind": kind, "bucket": bucket, "nodes": np.stack([hi, lo], 1).tobytes(), "sizes": sizes.astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(), "tokens": tokens.tobytes(), "dfs": b"" if dfs is None else dfs.astype(np.uint32).tobytes()}
+def _packed(kind, bucket, lo, counts, tokens, hi=None, sizes=None, dfs=None):
+    """One row: the nodes (low halves) with entries in a bucket, how many each has, and all entries in a row. Kind 1 alone names whole nodes and sizes."""
+    some = lambda x, kind: b"" if x is None else x.astype(kind).tobytes()
+    return {"kind": kind, "bucket": bucket, "hi": some(hi, U64), "lo": lo.tobytes(), "sizes": some(sizes, np.int32), "counts": some(counts, np.int32), "tokens": tokens.tobytes(), "dfs": some(dfs, np.uint32)}
 
 
-_PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
-
-
-def _by_bucket(kind, bucket, node, hi, lo, sizes, tokens, dfs=None):
+def _by_bucket(kind, keys, bucket, node, lo, tokens, dfs=None):
     """Rows of _packed(), one a bucket, from entries (bucket, node index, token)."""
     order = np.lexsort((node, bucket))
     bucket, node, tokens = bucket[order], node[order], tokens[order]
@@ -154,8 +155,7 @@ def _by_bucket(kind, bucket, node, hi, lo, sizes, tokens, dfs=None):
     for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
         own = node[a:b]
         runs = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        who = own[runs]
-        yield _packed(kind, int(bucket[a]), hi[who], lo[who], sizes[who], np.diff(np.append(runs, b - a)), tokens[a:b], None if dfs is None else dfs[a:b])
+        yield _packed(kind, keys[bucket[a]], lo[own[runs]], np.diff(np.append(runs, b - a)), tokens[a:b], dfs=None if dfs is None else dfs[a:b])
 
 
 def _batches_of(rows):
@@ -164,8 +164,16 @@ def _batches_of(rows):
         yield pa.RecordBatch.from_pylist(rows[at : at + 64], schema=_PACKED_ARROW)
 
 
-def spread(docs, heavy: np.ndarray, p: Params, buckets: int):
+def bucket_keys(spark, partitions: int) -> list[int]:
+    """For each of so many partitions a key that Spark's hash deals to it, so that buckets fill partitions evenly."""
+    found = spark.range(40 * partitions).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).agg(F.min("k").alias("k")).collect()
+    keys = {r["p"]: r["k"] for r in found}
+    return [keys.get(i, i) for i in range(partitions)]
+
+
+def spread(docs, heavy: np.ndarray, p: Params, keys: list[int]):
     """Kind 0: light tokens to their buckets. Kind 1: each node with its size and heavy tokens."""
+    buckets = len(keys)
 
     def run(batches):
         held, size = [], 0
@@ -183,7 +191,7 @@ def spread(docs, heavy: np.ndarray, p: Params, buckets: int):
             at = np.minimum(np.searchsorted(heavy, tokens), max(len(heavy) - 1, 0))
             hot = heavy[at] == tokens if len(heavy) else np.zeros(len(tokens), bool)
             light = ~hot
-            yield from _batches_of(_by_bucket(0, (tokens[light] % U64(buckets)).astype(np.int32), node[light], hi, lo, n, tokens[light]))
+            yield from _batches_of(_by_bucket(0, keys, (tokens[light] % U64(buckets)).astype(np.int32), node[light], lo, tokens[light]))
             whole = np.flatnonzero(keep)
             home = (lo[whole] % U64(buckets)).astype(np.int32)
             order = np.argsort(home, kind="stable")
@@ -194,7 +202,7 @@ def spread(docs, heavy: np.ndarray, p: Params, buckets: int):
             rows = []
             for a, b in zip(cuts, np.append(cuts[1:], len(home))):
                 who = whole[a:b]
-                rows.append(_packed(1, int(home[a]), hi[who], lo[who], n[who], (end - begin)[a:b], tokens[_ranges(begin[a:b], (end - begin)[a:b])]))
+                rows.append(_packed(1, keys[home[a]], lo[who], (end - begin)[a:b], tokens[_ranges(begin[a:b], (end - begin)[a:b])], hi=hi[who], sizes=n[who]))
             yield from _batches_of(rows)
 
         for batch in batches:
@@ -212,14 +220,11 @@ def spread(docs, heavy: np.ndarray, p: Params, buckets: int):
     return docs.select("text").mapInArrow(run, PACKED)
 
 
-def _unpacked(rows: list[dict]):
-    nodes = np.concatenate([np.frombuffer(r["nodes"], U64).reshape(-1, 2) for r in rows])
-    sizes, counts = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]) for k in ("sizes", "counts"))
-    tokens, dfs = np.concatenate([np.frombuffer(r["tokens"], U64) for r in rows]), np.concatenate([np.frombuffer(r["dfs"], np.uint32) for r in rows])
-    return nodes[:, 0].copy(), nodes[:, 1].copy(), sizes, counts, tokens, dfs
+def _column(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
 
-def shared_tokens(packed, partitions: int, buckets: int):
+def shared_tokens(packed, partitions: int, keys: list[int]):
     """Drops tokens of one node alone; sends the others, with the number of nodes that hold them, to their node's bucket."""
 
     def run(batches):
@@ -232,17 +237,18 @@ def shared_tokens(packed, partitions: int, buckets: int):
                     rows.append(row)
         if not rows:
             return
-        hi, lo, sizes, counts, tokens, _ = _unpacked(rows)
+        lo, counts, tokens = _column(rows, "lo", U64), _column(rows, "counts", np.int32), _column(rows, "tokens", U64)
         rows.clear()
-        node = np.repeat(np.arange(len(counts)), counts)
         order = np.argsort(tokens)
         ranked = tokens[order]
         same = np.zeros(len(ranked) + 1, bool)
         same[1:-1] = ranked[1:] == ranked[:-1]
         many = order[same[1:] | same[:-1]]
+        del order, ranked, same
         if not len(many):
             return
-        tokens, node = tokens[many], node[many]
+        node = np.repeat(np.arange(len(counts)), counts)[many]
+        tokens = tokens[many]
         order = np.lexsort((lo[node], tokens))
         tokens, node = tokens[order], node[order]
         fresh = np.ones(len(tokens), bool)
@@ -252,9 +258,8 @@ def shared_tokens(packed, partitions: int, buckets: int):
         df = df[inverse]
         keep = df > 1
         tokens, node, df = tokens[keep], node[keep], df[keep]
-        _, canon, back = np.unique(lo, return_index=True, return_inverse=True)
-        node = canon[back[node]]
-        yield from _batches_of(_by_bucket(2, (lo[node] % U64(buckets)).astype(np.int32), node, hi, lo, sizes, tokens, df))
+        ids, back = np.unique(lo, return_inverse=True)
+        yield from _batches_of(_by_bucket(2, keys, (ids % U64(len(keys))).astype(np.int32)[back[node]], back[node], ids, tokens, df))
 
     return packed.repartition(partitions, "bucket").mapInArrow(run, PACKED)
 
@@ -268,14 +273,16 @@ def survivors(shared, partitions: int, p: Params):
     schema = "hi long, lo long, n int, prefix int, tokens binary, " + ", ".join(f"m{r} long" for r in range(p.rounds))
 
     def run(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
+        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["kind"])
         if not rows:
             return
         for row in rows:
             if row["kind"] == 1:
                 row["dfs"] = np.full(len(row["tokens"]) // 8, HOT_DF, np.uint32).tobytes()
-        hi, lo, sizes, counts, tokens, dfs = _unpacked(rows)
+        lo, counts, tokens, dfs = _column(rows, "lo", U64), _column(rows, "counts", np.int32), _column(rows, "tokens", U64), _column(rows, "dfs", np.uint32)
+        hi, sizes = _column(rows, "hi", U64), _column(rows, "sizes", np.int32)
         rows.clear()
+        # Rows of kind 1 come first and name every node, so that the first place of each has its size.
         ids, canon, back = np.unique(lo, return_index=True, return_inverse=True)
         have = np.bincount(back, counts, len(ids)).astype(np.int64)
         fit = 100 * have >= p.percent * sizes[canon]  # repeated heavy tokens may let some through here; they go below
@@ -313,7 +320,7 @@ def links(inter: int, n: int, m: int, p: Params) -> bool:
     return 100 * inter >= p.percent * (n + m - inter)
 
 
-GROUP = "ghi long, glo long, least int, most int, matrix_tokens binary, group_tokens binary, members binary, member_counts binary, member_sizes binary, member_positions binary"
+GROUP = "ghi long, glo long, least int, most int, matrix_tokens binary, matrix_rest binary, group_tokens binary, members binary, member_counts binary, member_sizes binary, member_positions binary"
 
 
 def _greedy(rows: list[dict], p: Params) -> list[int]:
@@ -339,6 +346,24 @@ def _greedy(rows: list[dict], p: Params) -> list[int]:
     return of
 
 
+def _joined(rows: list[dict], p: Params) -> list[int]:
+    """Of each row, the least index that it reaches by links within the chunk."""
+    if len(rows) == 1:
+        return [0]
+    sets = [np.frombuffer(r["tokens"], U64) for r in rows]
+    universe, where = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(where, np.cumsum([len(s) for s in sets])[:-1])
+    sizes, of = np.array([r["n"] for r in rows]), np.arange(len(rows))
+    for i, part in enumerate(parts):
+        mark = np.zeros(len(universe), bool)
+        mark[part] = True
+        inter = np.add.reduceat(mark[where].astype(np.int64), np.cumsum([0, *(len(s) for s in sets[:-1])]))
+        near = of[np.flatnonzero(100 * inter >= p.percent * (sizes[i] + sizes - inter))]
+        if len(near) and (near != near.min()).any():
+            of[np.isin(of, near)] = near.min()
+    return of.tolist()
+
+
 def _runs(batches, keys):
     """Lists of consecutive rows with equal keys, across batches."""
     held, last = [], None
@@ -355,16 +380,16 @@ def _runs(batches, keys):
 
 
 def meet(nodes, r: int, p: Params, partitions: int):
-    """Nodes with min-hash m{r} in one chunk, with the leader (lhi, llo) that each joins."""
+    """Nodes with min-hash m{r} in one chunk, with the leader (lhi, llo) that each joins; after round 0, with the first that it reaches."""
     key = f"m{r}"
     large = nodes.groupBy(key).count().where(F.col("count") > p.chunk)
-    salted = nodes.join(large, key, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("hi", "lo"), F.ceil(F.col("count") / p.chunk)), F.lit(0))).drop("count")
+    salted = nodes.join(large, key, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("hi", "lo", F.lit(r)), F.ceil(F.col("count") / p.chunk)), F.lit(0))).drop("count")
 
     def run(batches):
         schema = None
         out: list[dict] = []
         for rows in _runs(batches, (key, "chunk")):
-            for row, k in zip(rows, _greedy(rows, p)):
+            for row, k in zip(rows, (_joined if r else _greedy)(rows, p)):
                 row.pop("chunk")
                 out.append(row | {"lhi": rows[k]["hi"], "llo": rows[k]["lo"]})
             if len(out) >= 2000:
@@ -391,10 +416,14 @@ def group_rows(joined, p: Params, partitions: int):
         for rows in _runs(batches, ("lhi", "llo")):
             sets = [np.frombuffer(r["tokens"], U64) for r in rows]
             union, where = np.unique(np.concatenate(sets), return_inverse=True)
+            # Of each prefix token, the most that a member has from it on, in the common order.
+            matrix, at = np.unique(np.concatenate([s[: r["prefix"]] for s, r in zip(sets, rows)]), return_inverse=True)
+            rest = np.zeros(len(matrix), np.int64)
+            np.maximum.at(rest, at, np.concatenate([len(s) - np.arange(r["prefix"]) for s, r in zip(sets, rows)]))
             out.append(
                 {
                     "ghi": rows[0]["lhi"], "glo": rows[0]["llo"], "least": min(r["n"] for r in rows), "most": max(r["n"] for r in rows),
-                    "matrix_tokens": np.unique(np.concatenate([s[: r["prefix"]] for s, r in zip(sets, rows)])).tobytes(), "group_tokens": union.tobytes(),
+                    "matrix_tokens": matrix.tobytes(), "matrix_rest": rest.astype(np.int32).tobytes(), "group_tokens": union.tobytes(),
                     "members": np.array([[r["hi"], r["lo"]] for r in rows], np.int64).tobytes(), "member_counts": np.array([len(s) for s in sets], np.int32).tobytes(),
                     "member_sizes": np.array([r["n"] for r in rows], np.int32).tobytes(), "member_positions": where.astype(np.int32).tobytes(),
                 }
@@ -409,20 +438,23 @@ def group_rows(joined, p: Params, partitions: int):
     return joined.repartition(partitions, "lhi", "llo").sortWithinPartitions("lhi", "llo").mapInArrow(run, GROUP)
 
 
-def _exploded(df, source: str, keys: list[str], count: str | None = None):
-    """A row a token of a packed column."""
+def _exploded(df, source: str, keys: list[str], count: str | None = None, rest: str | None = None):
+    """A row a token of a packed column (its first `count` ones), with `rest`: how many tokens there are from it on, packed or by position."""
 
     def run(batches):
         for batch in batches:
             sets = [np.frombuffer(x, U64) for x in batch.column(source).to_pylist()]
+            left = [np.frombuffer(x, np.int32) for x in batch.column(rest).to_pylist()] if rest else [len(s) - np.arange(len(s)) for s in sets]
             if count:
-                sets = [s[:n] for s, n in zip(sets, batch.column(count).to_pylist())]
+                cut = batch.column(count).to_pylist()
+                sets, left = [s[:n] for s, n in zip(sets, cut)], [x[:n] for x, n in zip(left, cut)]
             lengths = np.array([len(s) for s in sets], np.int64)
             take = pa.array(np.repeat(np.arange(len(sets)), lengths))
-            yield pa.RecordBatch.from_arrays([_long(np.concatenate(sets)) if sets else pa.array([], pa.int64()), *(batch.column(k).take(take) for k in keys)], ["token", *keys])
+            both = (_long(np.concatenate(sets)), pa.array(np.concatenate(left).astype(np.int32))) if sets else (pa.array([], pa.int64()), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*both, *(batch.column(k).take(take) for k in keys)], ["token", "rest", *keys])
 
     kinds = dict(df.dtypes)
-    return df.mapInArrow(run, ", ".join(["token long", *(f"{k} {kinds[k]}" for k in keys)]))
+    return df.mapInArrow(run, ", ".join(["token long, rest int", *(f"{k} {kinds[k]}" for k in keys)]))
 
 
 def _opened(batches, p: Params):
@@ -451,7 +483,7 @@ def closed(edges, spark, rounds: int = 40):
     """
     edges = K.saved(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark, "links")
     digest = None
-    for _ in range(rounds):
+    for _ in range(rounds if edges.head(1) else 0):
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -463,7 +495,8 @@ def closed(edges, spark, rounds: int = 40):
             break
         digest = now
     else:
-        raise RuntimeError("components haven't settled")
+        if digest is not None:
+            raise RuntimeError("components haven't settled")
     return edges.select("a", F.col("b").alias("root"))
 
 
@@ -471,38 +504,39 @@ def components(docs, p: Params = Params()):
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    keys = bucket_keys(spark, parts)
     found = scan(docs, spark, p)
     heavy = heavy_tokens(found, p)
-    shared = shared_tokens(spread(docs, heavy, p, buckets), parts, buckets)
+    shared = shared_tokens(spread(docs, heavy, p, keys), parts, keys)
     nodes = K.saved(survivors(shared, parts, p), spark, "jaccard-nodes")
     joined = K.saved(meet(nodes, 0, p, parts), spark, "jaccard-joined")
-    # Leaders of one round meet in the next; a node's component is where its chain of leaders ends.
-    chain = joined.select("hi", "lo", F.col("lhi").alias("chi"), F.col("llo").alias("clo"))
+    # Leaders meet under each of the other min-hashes, in other chunks each time.
     leaders = joined.where("hi = lhi and lo = llo").drop("lhi", "llo")
-    for r in range(1, p.rounds):
-        again = K.saved(meet(leaders, r, p, parts), spark, "jaccard-leaders")
-        step = again.select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), "lhi", "llo")
-        chain = chain.join(step, ["chi", "clo"]).select("hi", "lo", F.col("lhi").alias("chi"), F.col("llo").alias("clo"))
-        leaders = again.where("hi = lhi and lo = llo").drop("lhi", "llo")
-    chain = K.saved(chain.select("hi", "lo", F.struct("chi", "clo").alias("comp")), spark, "jaccard-chain")
+    met = [meet(leaders, r, p, parts).where("hi != lhi or lo != llo").select(F.struct("hi", "lo").alias("a"), F.struct(F.col("lhi").alias("hi"), F.col("llo").alias("lo")).alias("b")) for r in range(1, p.rounds)]
+    roots = closed(reduce(lambda x, y: x.unionByName(y), met), spark)
+    chain = joined.select("hi", "lo", F.struct(F.col("lhi").alias("hi"), F.col("llo").alias("lo")).alias("a")).join(roots, "a", "left").select("hi", "lo", F.coalesce("root", "a").alias("id"))
+    # The smaller component asks the groups of the larger.
+    chain = K.saved(chain.join(chain.groupBy("id").agg(F.count("*").alias("size")), "id").select("hi", "lo", F.struct("size", "id").alias("comp")), spark, "jaccard-chain")
     groups = K.saved(group_rows(joined, p, parts), spark, "jaccard-groups")
     group_comp = groups.join(chain.select(F.col("hi").alias("ghi"), F.col("lo").alias("glo"), F.col("comp").alias("gcomp")), ["ghi", "glo"])
     known = nodes.join(chain, ["hi", "lo"])
-    matrix = _exploded(group_comp.select("matrix_tokens", "ghi", "glo", "gcomp", "least", "most"), "matrix_tokens", ["ghi", "glo", "least", "most", "gcomp"])
+    matrix = _exploded(group_comp.select("matrix_tokens", "matrix_rest", "ghi", "glo", "gcomp", "least", "most"), "matrix_tokens", ["ghi", "glo", "least", "most", "gcomp"], rest="matrix_rest").withColumnRenamed("rest", "grest")
     query = _exploded(known.select("tokens", "prefix", "hi", "lo", "n", "comp"), "tokens", ["hi", "lo", "n", "comp"], "prefix")
     # A token of one component alone links nothing new.
     ends = matrix.groupBy("token").agg(F.min("gcomp").alias("x"), F.max("gcomp").alias("y")).where("x != y").select("token")
-    near = (F.col("comp") > F.col("gcomp")) & (100 * F.col("most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("least"))
+    # Two sets share at most what each has from their first common token on; linked ones share at least `need`.
+    need = F.ceil(p.percent * (F.col("n") + F.col("least")) / (100 + p.percent))
+    near = (F.col("comp") < F.col("gcomp")) & (100 * F.col("most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("least")) & (F.col("rest") >= need) & (F.col("grest") >= need)
     pairs = K.saved(query.join(ends, "token").join(matrix, "token").where(near).select("hi", "lo", "ghi", "glo").distinct(), spark, "jaccard-pairs")
-    wide = pairs.join(nodes.select("hi", "lo", "n", "tokens"), ["hi", "lo"]).join(groups.drop("matrix_tokens", "members", "most"), ["ghi", "glo"])
+    wide = pairs.join(nodes.select("hi", "lo", "n", "tokens"), ["hi", "lo"]).join(groups.drop("matrix_tokens", "matrix_rest", "members", "most"), ["ghi", "glo"])
     linked = K.saved(wide.mapInArrow(lambda b: _opened(b, p), "hi long, lo long, ghi long, glo long"), spark, "jaccard-links")
-    edges = linked.join(chain.select("hi", "lo", F.col("comp").alias("a")), ["hi", "lo"]).join(chain.select(F.col("hi").alias("ghi"), F.col("lo").alias("glo"), F.col("comp").alias("b")), ["ghi", "glo"]).select("a", "b")
+    named_by = chain.select("hi", "lo", F.col("comp.id").alias("id"))
+    edges = linked.join(named_by.withColumnRenamed("id", "a"), ["hi", "lo"]).join(named_by.select(F.col("hi").alias("ghi"), F.col("lo").alias("glo"), F.col("id").alias("b")), ["ghi", "glo"]).select("a", "b")
     roots = closed(edges, spark)
-    top = chain.join(roots.select(F.col("a").alias("comp"), "root"), "comp", "left").select("hi", "lo", F.coalesce("root", "comp").alias("comp"))
+    top = named_by.join(roots.select(F.col("a").alias("id"), "root"), "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("comp"))
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "hi", "lo")
     least = rows.where("lo is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).join(top, ["hi", "lo"], "left")
-    least = least.withColumn("comp", F.coalesce("comp", F.struct(F.col("hi").alias("chi"), F.col("lo").alias("clo"))))
+    least = least.withColumn("comp", F.coalesce("comp", F.struct("hi", "lo")))
     named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("hi", "lo", "component_id")
     return rows.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
