@@ -390,9 +390,9 @@ def fold_sql(column: str, groups: list[str], protocol: splits.SplitProtocol) ->
     return f"WITH {PT} SELECT channel_id, CASE {cases} END AS fold FROM pt"
 
 
-@query(fold_sql("instance_id", sorted(f"{t}:{b}" for t in TYPES for b in BRANDS), splits.RandomSplit(0.2, 0.1, 3)))
+@query(fold_sql("'i' || brand", sorted(f"i{b}" for b in BRANDS), splits.RandomSplit(0.2, 0.1, 3)))
 def split_random(spark, sf):
-    return splits.RandomSplit(0.2, 0.1, 3).apply(part_channels(spark, sf).where("brand is not null")).folds
+    return splits.RandomSplit(0.2, 0.1, 3).apply(part_channels(spark, sf).withColumn("instance_id", F.concat(F.lit("i"), "brand"))).folds
 
 
 @query(fold_sql("brand", BRANDS, splits.LeaveBrandOut(0.25, 0.0, 1)))
@@ -459,10 +459,10 @@ def compat_axes(spark, sf):
 
 @query("""WITH RECURSIVE v AS (SELECT nk, x, row_number() OVER (PARTITION BY nk ORDER BY x) AS i FROM (SELECT DISTINCT c_nationkey AS nk, abs(c_acctbal) AS x FROM customer)),
 c AS (SELECT nk, i, x AS f, x AS s, 1::BIGINT AS n, 1::BIGINT AS g FROM v WHERE i = 1 UNION ALL SELECT v.nk, v.i, CASE WHEN v.x <= c.f * 1.5::DOUBLE THEN c.f ELSE v.x END, CASE WHEN v.x <= c.f * 1.5::DOUBLE THEN c.s + v.x ELSE v.x END, CASE WHEN v.x <= c.f * 1.5::DOUBLE THEN c.n + 1 ELSE 1 END, CASE WHEN v.x <= c.f * 1.5::DOUBLE THEN c.g ELSE c.g + 1 END FROM c JOIN v ON v.nk = c.nk AND v.i = c.i + 1)
-SELECT nk AS c_nationkey, (g - 1)::INT AS cluster, round(arg_max(s / n, i), 2) AS volts FROM c GROUP BY nk, g""")
+SELECT nk AS c_nationkey, (g - 1)::INT AS cluster, round(arg_max(s / n, i), 7) AS volts FROM c GROUP BY nk, g""")
 def voltage_clusters(spark, sf):
     c = table(spark, sf, "customer").groupBy("c_nationkey").agg(compat.clusters(F.collect_set(F.abs("c_acctbal")), 0.5).alias("v"))
-    return c.select("c_nationkey", F.posexplode("v").alias("cluster", "volts")).withColumn("volts", r("volts", 2))
+    return c.select("c_nationkey", F.posexplode("v").alias("cluster", "volts")).withColumn("volts", r("volts", 7))
 
 
 @query(f"WITH {PT} SELECT channel_id, FALSE AS aligned, TRUE AS lowfreq, size > 25 AS apparent FROM pt")
