@@ -113,7 +113,7 @@ def test_quote_edge_cases(spark):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
-    prose = lambda k: " ".join("".join(chr(97 + (k * 31 + j * j * m + m) % 26) for m in range(1, 8)) for j in range(80))
+    prose = lambda k: " ".join("".join(random.Random(100 * k + j).choices("abcdefghij", k=7)) for j in range(80))
     rows = [prose(1), prose(1) + " tail", prose(2) + " me@x.org", "short", None, prose(3)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
