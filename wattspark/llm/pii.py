@@ -303,5 +303,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 def op2_pii_boosting(spark, sf_dir):
     """Counts, digest and spans of personal data in every text of `documents`."""
     docs = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in BASE_KINDS}
-    return docs.select("doc_id", *(v.alias(k) for k, v in counts.items()), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return docs.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
