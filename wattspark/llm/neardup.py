@@ -321,7 +321,7 @@ def near_duplicates(vectors, p: Params = Params()):
     whole = F.col("angle") + F.col("ra") + F.col("rb") <= p.angle - SLACK
     whole_links = sized.where(whole).groupBy(F.col("a").alias("ball")).agg(F.sum("mb").alias("whole"))
     # Blocks of bounded size hold the vectors of a ball.
-    block = members.withColumn("block", F.pmod(F.xxhash64("seq"), F.ceil(F.count("*").over(_by("ball")) / p.chunk)))
+    block = members.join(info.select(F.col("seq").alias("ball"), "members"), "ball").withColumn("block", F.pmod(F.xxhash64("seq"), F.ceil(F.col("members") / p.chunk)))
     blocks = block.groupBy("ball", "block").agg(F.collect_list("vec").alias("vecs"))
     open_ = sized.where(~whole).select(F.col("a").alias("ball"), "b", "rb", "mb")
     asked = members.select("seq", "vec", "ball").join(open_, "ball").join(leaders.select(F.col("seq").alias("b"), F.col("vec").alias("lead")), "b")
@@ -362,12 +362,6 @@ def near_duplicates(vectors, p: Params = Params()):
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def recall(vectors, result, p: Params = Params(), every: int = 50) -> float:
     """Share of the true links of every `every`-th vec_id that result counts, by comparison with all rows in blocks."""
     spark = vectors.sparkSession
