@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .electrical import col, mean, total
+from .electrical import col, let, mean, total
 
 
 def adaptive_mean(x, size: int) -> Column:
@@ -102,7 +102,7 @@ def harmonic_lowpass(x, n: int) -> Column:
 def harmonics(x, n: int, normalize: bool = True) -> Column:
     """Magnitudes of the first n bins, over that of bin 1 if normalize (RP-11, one cycle)."""
     m = F.transform(dft(x, n), lambda c: F.sqrt(c["re"] * c["re"] + c["im"] * c["im"]))
-    return F.transform(m, lambda y: y / F.greatest(F.get(m, F.lit(1)), F.lit(1e-12))) if normalize else m
+    return let(m, lambda a: F.transform(a, lambda y: y / F.greatest(F.get(a, F.lit(1)), F.lit(1e-12)))) if normalize else m
 
 
 def dfia(v, i, size: int) -> Column:
@@ -119,15 +119,14 @@ def vi_cells(v, i, size: int, normalize: bool = True) -> Column:
     """array<struct(row, col, slope, power)>: the raster cell of each sample; half-even rounding (RP-06)."""
     v, i = col(v), col(i)
     peak = lambda x: F.greatest(F.array_max(F.transform(x, lambda y: F.abs(y.cast("double")))), F.lit(1e-12)) if normalize else F.lit(1.0)
-    pv, pi = peak(v), peak(i)
     cell = lambda y, p: F.least(F.greatest(F.bround((y / p + 1.0) / 2.0 * (size - 1)), F.lit(0.0)), F.lit(size - 1.0)).cast("int")
 
-    def one(x, k):
+    def one(x, k, pv, pi):
         a, b = x.cast("double"), F.get(i, k).cast("double")
         dv, di = F.coalesce(F.get(v, k + 1).cast("double") - a, F.lit(0.0)), F.coalesce(F.get(i, k + 1).cast("double") - b, F.lit(0.0))
         return F.struct(cell(b, pi).alias("row"), cell(a, pv).alias("col"), (F.atan2(di / pi, dv / pv) / math.pi).alias("slope"), F.abs(a / pv * b / pi).alias("power"))
 
-    return F.transform(v, one)
+    return let(peak(v), lambda pv: let(peak(i), lambda pi: F.transform(v, lambda x, k: one(x, k, pv, pi))))
 
 
 def vi_raster(df, keys: list[str], v: str, i: str, size: int, normalize: bool = True):
@@ -194,4 +193,4 @@ def sequence_input(x, normalize: str | None = None) -> Column:
         return x
     size = F.transform(x, lambda y: F.abs(y.cast("double")))
     by = {"peak": F.array_max(size), "mean": mean(size)}[normalize]
-    return F.transform(x, lambda y: y / F.greatest(by, F.lit(1e-12)))
+    return let(by, lambda b: F.transform(x, lambda y: y / F.greatest(b, F.lit(1e-12))))

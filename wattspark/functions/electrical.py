@@ -33,6 +33,11 @@ def power_factor(active: Column, apparent: Column) -> Column:
 
 
 # Expressions over arrays.
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: within a lambda, an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -61,8 +66,11 @@ def fryze(v, i, eps: float = 1e-12) -> Column:
     """struct(v, active, residual): the current that is proportional to the voltage, and the rest (RP-01)."""
     v, i = col(v), col(i)
     g = array_active_power(v, i) / (mean(products(v, v)) + eps)
-    active = F.transform(v, lambda x: g * x.cast("double"))
-    return F.struct(v.alias("v"), active.alias("active"), F.zip_with(i, active, lambda x, y: x.cast("double") - y).alias("residual"))
+
+    def parts(active):
+        return F.struct(v.alias("v"), active.alias("active"), F.zip_with(i, active, lambda x, y: x.cast("double") - y).alias("residual"))
+
+    return let(let(g, lambda k: F.transform(v, lambda x: k * x.cast("double"))), parts)
 
 
 def is_on(watts, threshold) -> Column:

@@ -606,7 +606,7 @@ def voltage_normalise(spark, sf):
 def aligned_cycles(spark, sf):
     """Each user's values less their mean, as one signal; cycles by crossings at 16 points. Beyond SQL: tests hold it against an analytic sine."""
     s = series(spark, sf).groupBy("channel_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("x"))
-    c = s.withColumn("v", F.transform("x", lambda x: x - E.mean(F.col("x"))))
+    c = s.withColumn("v", E.let(E.mean(F.col("x")), lambda m: F.transform("x", lambda x: x - m)))
     got = c.select("channel_id", align.cycle_align_udf(1.0, 16, 4, None, 0.5)("v", "v").alias("a"))
     return got.select("channel_id", F.size(F.filter("a.mask", lambda m: m)).alias("n_valid"), r(F.array_max(F.transform(F.flatten("a.v"), F.abs))).alias("peak"))
 
