@@ -108,6 +108,23 @@ def test_trees_find_secrets_and_leave_prose(spark):
     assert min(held.values()) > 0.9, held
 
 
+def test_long_keys_and_last_groups_are_whole_spans(spark):
+    r = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    of = lambda n, more="": "".join(r.choice(alphabet + more) for _ in range(n))
+    keys = [of(160), of(1000), "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", of(86, "+/") + "==", f"eyJ{of(33)}.{of(70)}.{of(43)}"]
+    accounts = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947"]
+    rows = [(f"we set api_key={k} there", f"secret:15:{15 + len(k)}") for k in keys] + [(f"bank transfer to {a} today", f"iban:17:{17 + len(a)}") for a in accounts]
+    rows += [(t, "") for t in ("see http://www.example.com/some/longer/path/index.html for more", "in /usr/local/lib/python/site/packages there", "the dog/cat/horse/rabbit/sheep list", "end.Next.sentence.without.any.space", "-" * 30, "=" * 40)]
+    got = [x[0] for x in pii.with_spans(frame(spark, [t for t, _ in rows])).orderBy("doc_id").select(pii._listed(F.col("found"))).collect()]
+    assert got == [want for _, want in rows]
+
+
+def test_long_runs_take_proportional_time(spark):
+    rows = ["a." * 100_000, "a/" * 100_000, "a=" * 100_000, "aB3" * 100_000, "A" * 15 + ("." + "A" * 15) * 10_000]
+    assert pii.with_spans(frame(spark, rows)).select("found").count() == len(rows)
+
+
 def test_redaction_replaces_spans_alone(spark):
     rows = ["write to me@x.org or 10.0.0.1 now", "nothing", None, "é me@x.org"]
     got = [r[0] for r in pii.redacted(frame(spark, rows)).orderBy("doc_id").select("text").collect()]

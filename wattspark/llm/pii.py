@@ -1,7 +1,7 @@
 """PII: candidate gradient boosting over DataFrame expressions.
 
 Base matchers (email, ip, card, phone) find spans with checks of format; these always stay. High-recall generators
-propose more, overlapping candidates; boosted trees over features of format and context score them; a threshold for each kind,
+propose more, overlapping candidates (a secret of any length, with its separators and apart; an account number to its last group); boosted trees over features of format and context score them; a threshold for each kind,
 calibrated on held-out rows, selects redactions. Spans are in code points, end exclusive.
 
 The trees are fitted by the driver on at most `rows` labelled template rows (a documented bound) and become CASE expressions, so that
@@ -39,11 +39,13 @@ GENERATORS = {
     "email_hidden": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63} ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "phone_local": r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}(?: ?[A-Z0-9]{3}|(?: ?[A-Z0-9]{4}){1,5}(?: ?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
     "number": r"(?<![0-9.,+-])[0-9]{8,11}(?![0-9.,-])",
 }
+#: A kind's second pattern, for candidates around those of the first: keys with + or /, = at the end, and dots between parts.
+WIDER = {"secret": r"(?<![A-Za-z0-9_+/-])(?=(?:[A-Za-z0-9_+/-]|\.(?=[A-Za-z0-9_+/-])){16})[A-Za-z0-9_+/-]++(?:=++(?![A-Za-z0-9_+/-]))?+(?:\.[A-Za-z0-9_+/-]++(?:=++(?![A-Za-z0-9_+/-]))?+)*+"}
 CUES = {
     "cue_phone": r"(?i)phone|call|tel\b|tel[.:]|mobile|cell|fax|whatsapp",
     "cue_secret": r"(?i)password|passwd|pwd|secret|token|api[_ ]?key|credential|AKIA|ghp_|sk[-_]|private key",
@@ -100,7 +102,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def candidates(text: Column) -> Column:
     """All generators' spans, overlapping, each with the text around it."""
-    lists = [found(text, p, None, k, len(BASE_KINDS) + i) for i, (k, p) in enumerate(GENERATORS.items())]
+    ranks = {k: len(BASE_KINDS) + i for i, k in enumerate(GENERATORS)}
+    lists = [found(text, p, None, k, ranks[k]) for k, p in GENERATORS.items()] + [found(text, p, lambda v: v.rlike("[+/=.]"), k, ranks[k]) for k, p in WIDER.items()]
     return F.transform(F.concat(*lists), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE))).alias("before"), F.substring(text, s["end"] + 1, AFTER).alias("after")))
 
 
@@ -116,10 +119,12 @@ def features(c: Column) -> dict[str, Column]:
         "upper_share": F.length(F.regexp_replace(v, "[^A-Z]", "")) / n,
         "kinds_of_characters": F.size(F.array_distinct(F.split(v, ""))) / n,
         "switches": F.regexp_count(v, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")) / n,
+        "case_switches": F.regexp_count(v, F.lit("[a-z][A-Z]|[A-Z][a-z]")) / n,
+        "separators": F.length(F.regexp_replace(v, "[^./+=_-]", "")) / n,
         "hexadecimal": v.rlike("^[0-9a-f-]+$").cast("double"),
         "brackets": v.rlike(r"[\[({]").cast("double"),
         "assigned": c["before"].rlike(r"[=:]\s*[\"']?$").cast("double"),
-        "key_prefix": v.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk[-_]|pk[-_]|rk[-_]|xox[bp]-|AIza|glpat-)").cast("double"),
+        "key_prefix": v.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk[-_]|pk[-_]|rk[-_]|xox[bp]-|AIza|glpat-|eyJ)").cast("double"),
         "in_path": around.rlike(r"[/\\][^ ]*$|^[^ ]*[/\\]").cast("double"),
         "cue_phone_near": around.rlike(CUES["cue_phone"]).cast("double"),
     }
@@ -145,23 +150,26 @@ def _templates(rows: int, seed: int) -> list[tuple[str, int, str]]:
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     of = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     low, up, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    base64 = low + up + "0123456789+/"
+    words = lambda glue, least, most: glue.join(of(low, r.randint(2, 9)) for _ in range(r.randint(least, most)))
+    grouped = lambda account: "".join(" " * (k and k % 4 == 0) + c for k, c in enumerate(account))
     filler = lambda: " ".join(of(low, r.randint(2, 8)) for _ in range(r.randint(1, 5)))
     yes = {
         "email_hidden": lambda: (r.choice(["mail me:", "contact", "write to", "", "email"]), of(low, 6) + r.choice([" [at] ", "(at)", " (at) ", "{at}"]) + of(low, 7) + r.choice([".", " [dot] ", "(dot)"]) + r.choice(["com", "org", "net"])),
         "phone_local": lambda: (r.choice(["call", "tel:", "phone", "mobile", "fax:"]), r.choice(["(%s) %s-%s", "%s-%s-%s", "%s %s %s", "%s.%s.%s"]) % (digits(3), digits(3), digits(4))),
         "national_id": lambda: (r.choice(["SSN", "social security number", "national id:", "tax id", "passport"]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
-        "iban": lambda: (r.choice(["IBAN", "account", "bank transfer to", "iban:", ""]), r.choice(["DE", "FR", "ES", "GB"]) + digits(2) + "".join(r.choice(["", " "]) + digits(4) for _ in range(r.randint(3, 5)))),
+        "iban": lambda: (r.choice(["IBAN", "account", "bank transfer to", "iban:", ""]), r.choice([str, grouped])(r.choice([lambda: r.choice(["DE", "ES", "IT", "NO", "BE"]) + digits(2) + digits(r.randint(11, 24)), lambda: "GB" + digits(2) + of(up, 4) + digits(14), lambda: "FR" + digits(12) + of(up + "0123456789", 11) + digits(2)])())),
         "mac": lambda: (r.choice(["device address", "mac", "host", ""]), r.choice(":-").join(of(hexa, 2) for _ in range(6))),
-        "secret": lambda: r.choice([("", "AKIA" + of(up + "0123456789", 16)), ("password=", of(hexa, r.randint(16, 24))), ("token = \"", of(hexa, 40)), ("api_key:", of(low + up + "0123456789", 32)), ("", "ghp_" + of(low + up + "0123456789", 36)), ("secret:", "sk-" + of(low + up + "0123456789", 32))]),
+        "secret": lambda: r.choice([("", "AKIA" + of(up + "0123456789", 16)), ("password=", of(hexa, r.randint(16, 24))), ("token = \"", of(hexa, 40)), ("api_key:", of(low + up + "0123456789", 32)), ("", "ghp_" + of(low + up + "0123456789", 36)), ("secret:", "sk-" + of(low + up + "0123456789", 32)), ("api_key=", of(low + up + "0123456789_-", r.randint(64, 400))), ("secret key =", of(base64, 40)), ("secret=", of(base64, r.randint(20, 200)) + "=" * r.randint(0, 2)), ("token:", "eyJ" + ".".join(of(low + up + "0123456789_-", r.randint(16, 80)) for _ in range(3))), ("password:", of(base64, r.randint(16, 30)))]),
         "number": lambda: (r.choice(["tel:", "phone", "passport", "insurance", "SSN", "mobile"]), digits(r.randint(8, 11))),
     }
     no = {
         "email_hidden": lambda: ("meet", of(low, 5) + " at " + of(low, 6) + r.choice([". ", "."]) + of(low, 4)),
         "phone_local": lambda: (r.choice(["page", "figure", "score", "total", "version", "", "table"]), r.choice(["%s %s %s", "%s-%s-%s", "%s.%s.%s"]) % (digits(r.randint(2, 5)), digits(r.randint(3, 4)), digits(r.randint(3, 4)))),
         "national_id": lambda: (r.choice(["part number", "isbn", "build", "order"]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
-        "iban": lambda: (r.choice(["commit", "part number", "hash"]), of(up, 2) + digits(2) + "".join(of(up, 4) for _ in range(r.randint(3, 5)))),
+        "iban": lambda: (r.choice(["commit", "part number", "hash"]), of(up, 2) + digits(2) + "".join(of(up, 4) for _ in range(r.randint(3, 5))) + of(up, r.randint(0, 3))),
         "mac": lambda: (r.choice(["hash", "commit", "version"]), "-".join(digits(2) for _ in range(6))),
-        "secret": lambda: r.choice([("", of(low, r.randint(16, 40))), ("commit", of(hexa, 40)), ("", "-".join(of(low, r.randint(3, 9)) for _ in range(4))), ("http://x/", of(low, 8) + "-" + of(low, 9)), ("", "_".join(of(low, 5) for _ in range(4))), ("sha", of(hexa, 32)), ("", of(up, 1) + of(low, r.randint(16, 30))), ("", digits(20)), ("", "-" * r.randint(16, 40))]),
+        "secret": lambda: r.choice([("", of(low, r.randint(16, 40))), ("commit", of(hexa, 40)), ("", "-".join(of(low, r.randint(3, 9)) for _ in range(4))), ("http://x/", of(low, 8) + "-" + of(low, 9)), ("", "_".join(of(low, 5) for _ in range(4))), ("sha", of(hexa, 32)), ("", of(up, 1) + of(low, r.randint(16, 30))), ("", digits(20)), ("", "-" * r.randint(16, 40)), ("http:", "//www." + of(low, 8) + ".com/" + words("/", 1, 4) + r.choice(["", ".html", "/" + digits(6)])), ("", "/" + words("/", 3, 6) + r.choice(["", ".py", ".txt"])), ("", words(".", 3, 6)), ("", words("/", 3, 6)), ("", f"{digits(4)}-{digits(2)}-{digits(2)}/{digits(4)}-{digits(2)}-{digits(2)}"), ("version", ".".join(digits(r.randint(1, 3)) for _ in range(8))), ("", words("+", 3, 6)), ("", r.choice("=./_-") * r.randint(16, 60)), ("data:image/png;base64,", of(base64, r.randint(60, 400)))]),
         "number": lambda: (r.choice(["", "order", "invoice", "total", "isbn", "year", "page"]), digits(r.randint(8, 11))),
     }
     out = []
@@ -169,7 +177,7 @@ def _templates(rows: int, seed: int) -> list[tuple[str, int, str]]:
         kind = list(GENERATORS)[i % len(GENERATORS)]
         good = i // len(GENERATORS) % 2
         cue, value = (yes if good else no)[kind]()
-        glue = "" if cue.endswith(("=", '"', "/")) else " " * bool(cue)
+        glue = "" if cue.endswith(("=", '"', "/", "http:", ",")) else " " * bool(cue)
         out.append((f"{filler()} {cue}{glue}{value} {filler()}", good, kind))
     return out
 
