@@ -120,6 +120,19 @@ def test_long_keys_and_last_groups_are_whole_spans(spark):
     assert got == [want for _, want in rows]
 
 
+def test_spans_around_base_spans_stay(spark):
+    key, account = "b7d4111111111111111fa5fcc78305ab90cd12ef", "BE68 5390 0754 7033"
+    rows = [f"token={key} ok", f"bank transfer to {account} today", "call 4111 1111 1111 1111 now"]
+    assert luhn("4111111111111111") and luhn("68539007547033")
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: ([tuple(x)[:4] for x in r["base"]], r["spans"]) for r in pii.with_spans(docs).select("doc_id", "base", pii._listed(F.col("found")).alias("spans")).collect()}
+    assert all(base == brute_spans(rows[i]) for i, (base, _) in got.items())
+    assert got[0][1] == f"secret:6:{6 + len(key)},card:9:25"
+    assert got[1][1] == f"iban:17:{17 + len(account)},card:19:{17 + len(account)}"
+    assert got[2][1] == "card:5:24"
+    assert [r[0] for r in pii.redacted(docs).orderBy("doc_id").select("text").collect()] == ["token=[SECRET] ok", "bank transfer to [IBAN] today", "call [CARD] now"]
+
+
 def test_long_runs_take_proportional_time(spark):
     rows = ["a." * 100_000, "a/" * 100_000, "a=" * 100_000, "aB3" * 100_000, "A" * 15 + ("." + "A" * 15) * 10_000]
     assert pii.with_spans(frame(spark, rows)).select("found").count() == len(rows)

@@ -2,7 +2,8 @@
 
 Base matchers (email, ip, card, phone) find spans with checks of format; these always stay. High-recall generators
 propose more, overlapping candidates (a secret of any length, with its separators and apart; an account number to its last group); boosted trees over features of format and context score them; a threshold for each kind,
-calibrated on held-out rows, selects redactions. Spans are in code points, end exclusive.
+calibrated on held-out rows, selects redactions. Spans may overlap each other and base spans; one that lies wholly in another
+adds nothing and goes. Spans are in code points, end exclusive.
 
 The trees are fitted by the driver on at most `rows` labelled template rows (a documented bound) and become CASE expressions, so that
 scoring stays in the JVM. All candidates and features come from one set of column expressions, in fitting and in scoring.
@@ -262,7 +263,7 @@ def score(model: Model, values: Column) -> Column:
 
 
 def selected(model: Model, proposed: Column, base: Column) -> Column:
-    """Candidates at or over their kind's threshold that touch no base span; of overlapping ones the first, then longest, stays."""
+    """Candidates at or over their kind's threshold, by start, then the longest first, without those that lie wholly in a base span or in one selected before."""
     def passes(c):
         cut = F.lit(None).cast("double")
         for kind, t in model.thresholds.items():
@@ -270,11 +271,11 @@ def selected(model: Model, proposed: Column, base: Column) -> Column:
         columns = features(c)
         return F.coalesce(let(F.array(*(columns[n] for n in model.names)), lambda v: score(model, v)) >= cut, F.lit(False))
 
-    free = F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
     good = F.transform(F.filter(free, passes), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     span = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value"))
-    fold = F.aggregate(F.array_sort(good), F.struct(F.lit(-1).alias("to"), empty.alias("out")), lambda a, c: F.when(c["start"] >= a["to"], F.struct(c["end"].alias("to"), F.concat(a["out"], F.array(span(c))).alias("out"))).otherwise(a), lambda a: a["out"])
+    fold = F.aggregate(F.array_sort(good), F.struct(F.lit(-1).alias("to"), empty.alias("out")), lambda a, c: F.when(c["end"] > a["to"], F.struct(c["end"].alias("to"), F.concat(a["out"], F.array(span(c))).alias("out"))).otherwise(a), lambda a: a["out"])
     return F.when(F.size(proposed) > 0, fold).otherwise(empty)
 
 
