@@ -3,6 +3,8 @@
 The text is cut only where the tokenizer's own pre-tokenizer must cut too, so that the ids of a text are the ids
 of its chunks in a row. Each distinct chunk of a batch goes through the tokenizers library once; a bounded
 memory of chunks lives as long as the Python worker.
+
+Text that spells a special token is plain text here (encode_special_tokens); the library's default gives the special token's id.
 """
 
 from __future__ import annotations
