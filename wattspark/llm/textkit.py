@@ -1,12 +1,16 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
 Everything works on whole Arrow string columns: the UTF-8 bytes of a batch are one numpy array,
-words are found with array comparisons, and word hashes come from prefix sums, so no Python code
-runs per word. A null text is an empty text.
+words are found with array comparisons and hashed in blocks of 8 bytes, all words in step, so no Python code
+runs per word of usual length. A null text is an empty text.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,8 +19,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Odd bases that are 3 or 5 modulo 8, so that powers differ in their low bits, with their inverses modulo 2^64.
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD95 | 5)
+#: Of a block of 8 bytes, the low ones that belong to a span that ends within it.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Spans beyond so many bytes are hashed by BLAKE2, one by one.
+_LONG = 128
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PUNCT = np.zeros(256, bool)
@@ -26,29 +33,6 @@ _WIDE_SPACE_END = np.zeros(256, bool)
 _WIDE_SPACE_END[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 
 
-def _tables(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_BYTE_VALUES = (_tables(11), _tables(23))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size, base = max(n, 1 << 21), _BASES[which]
-        inverse = pow(base, -1, 2**64)
-        out = []
-        for b in (base, inverse):
-            p = np.ones(size, np.uint64)
-            p[1:] = np.uint64(b)
-            out.append(np.multiply.accumulate(p))
-        have = _POWERS[which] = (out[0], out[1])
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -98,6 +82,19 @@ def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _SPACE[data]
+
+
+def may_end_in_space(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the last character before each end is, or may be, white space of any kind."""
+    last = data[ends - 1]
+    lead2 = data[np.maximum(ends - 2, 0)] == 0xC2
+    lead3 = np.isin(data[np.maximum(ends - 3, 0)], (0xE1, 0xE2, 0xE3))
+    return _SPACE[last] | (_WIDE_SPACE_END[last] & (lead2 | lead3))
+
+
 def spans_of_chunks(data: np.ndarray, offsets: np.ndarray, keep_space: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Cuts each text where any of the byte-pair tokenizers' patterns must cut too.
 
@@ -112,11 +109,7 @@ def spans_of_chunks(data: np.ndarray, offsets: np.ndarray, keep_space: bool = Tr
     cut = np.zeros(n, bool)
     cut[1:] = space[1:] & ~space[:-1]
     doubt = np.flatnonzero(cut)
-    doubt = doubt[_WIDE_SPACE_END[data[doubt - 1]]]
-    doubt = doubt[doubt >= 2]
-    lead2 = data[doubt - 2] == 0xC2
-    lead3 = np.isin(data[np.maximum(doubt - 3, 0)], (0xE1, 0xE2, 0xE3))
-    cut[doubt[lead2 | lead3]] = False
+    cut[doubt[may_end_in_space(data, doubt)]] = False
     cut[1:] |= _PUNCT[data[1:]] & _ALNUM[data[:-1]]
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
@@ -130,14 +123,24 @@ def spans_of_chunks(data: np.ndarray, offsets: np.ndarray, keep_space: bool = Tr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    up, down = _powers(which, len(data) + 1)
-    values = _BYTE_VALUES[which]
+    """A 64-bit hash of the bytes of each span: its length, then blocks of 8 bytes, each through a non-linear mix."""
     if lower:
-        values = values[_LOWER]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        data = _LOWER[data]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    width, seed = ends - starts, _SEEDS[which]
+    out = mix(width.astype(np.uint64) * seed + seed)
+    active, done = np.flatnonzero((width > 0) & (width <= _LONG)), 0
+    while len(active):
+        left = width[active] - done
+        out[active] = mix((out[active] ^ (blocks[starts[active] + done] & _KEEP[np.minimum(left, 8)])) * seed)
+        done += 8
+        active = active[left > 8]
+    long = np.flatnonzero(width > _LONG)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, salt=bytes([which])).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
 
 
 def owners(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -154,6 +157,20 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[at + np.arange(total)]
 
 
+def tidy(run):
+    """run, a function of batches, with the worker's free memory given back when it ends: workers stay, and wait beside other stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark, name: str) -> str:
     """A new folder, as a URI, in the folder that driver and executors share.
 
