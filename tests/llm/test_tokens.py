@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wattspark.llm import packing, pieces, tokens, wavelet
+from wattspark.llm import packing, pieces, textkit, tokens, wavelet
 
 ODD = ["", None, " ", "  a  b \n c 　 d", "x\x1c y\x1f  z\x85 q", "ΣΑΣ ΟΔΟΣ Σ á ́b  é\n\n\n", "don't I'LL we've  's 's", "A" * 3000, "日本語 テキスト。 한국어", "<|endoftext|> hi", "tail   ", "\n\nlead", "a,b.c;d (e) [f] {g}", "▁x ▁▁ y", "😀" * 40]
 
@@ -29,6 +29,43 @@ def test_chunks_give_the_library_ids(name, space):
             assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 1], t
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: equal under any polynomial hash modulo a power of two."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 128, 1024, 2048])
+def test_crafted_words_do_not_collide(n):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(n)
+    rows = [one, two, f"x {one} {two}", f"{two}.{one}"]
+    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.tokenizer_path(name)
+        library = Tokenizer.from_file(path)
+        ids, at = tokens.ChunkEncoder(path, space, not space).encode(pa.array(rows))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    ids, at = pieces.PieceEncoder(path).encode(pa.array(rows))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == sentencepiece.SentencePieceProcessor(model_file=path).encode(rows)
+
+
+def test_a_full_memory_changes_no_ids():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), tokens.ChunkEncoder(path, False, True)
+    encoder.SLOTS, encoder.POOL, encoder.JOINED = 16, 500, 3
+    encoder.forget()
+    r = random.Random(4)
+    for _ in range(4):
+        rows = [" ".join("".join(r.choices("abçÉß.İ", k=r.randint(1, 3))) for _ in range(60)) for _ in range(8)]
+        ids, at = encoder.encode(pa.array(rows))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_pieces_are_sentencepiece_pieces():
     import sentencepiece
 
@@ -88,6 +125,17 @@ def test_shards_read_back(spark, tmp_path):
     assert got == want
 
 
+def test_small_shards_null_ids_and_clashing_columns(spark):
+    rows = [(None, "x y"), (-(2**63), "z"), (3, None), (3, "a b c"), (2, "q " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "'p' AS path", "2 AS serial").repartition(2)
+    folder = textkit.shared_dir(spark, "small-shards")
+    manifest = wavelet.write_shards(docs, spark, folder, tokens.tokenizer_path("word_bpe_49k.json"), False, True, shard_ids=1)
+    got = sorted(wavelet.read_documents(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, -(2**63), 2, 3, 3]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert wavelet.read_documents(wavelet.write_shards(docs.where("false"), spark, folder, tokens.tokenizer_path("word_bpe_49k.json"), False, True)).count() == 0
+
+
 def test_packing_places_each_id_once(spark, tmp_path):
     from tokenizers import Tokenizer
 

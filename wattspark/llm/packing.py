@@ -156,7 +156,7 @@ def pack_ids(docs, path: str, keep_space: bool = True, lower: bool = False, limi
             yield from flush()
 
     columns = ["doc_id", "text"] + [c for c in ("loss_from",) if c in docs.columns]
-    return docs.select(*columns).mapInArrow(pack, PIECE_SCHEMA)
+    return docs.select(*columns).mapInArrow(K.tidy(pack), PIECE_SCHEMA)
 
 
 def op4_vector_packing(spark, sf_dir):

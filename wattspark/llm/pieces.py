@@ -54,8 +54,6 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 class PieceEncoder(ChunkEncoder):
     """A byte-pair SentencePiece model with byte fallback, identity normalisation and a dummy prefix."""
 
-    REMEMBER = 1_500_000
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -166,11 +164,12 @@ class PieceEncoder(ChunkEncoder):
         lo, hi = bound(self.low), bound(self.high)
         return K.gather(order, lo, hi - lo), np.repeat(np.arange(len(lo)), hi - lo)
 
-    def ids_of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word with a space before it, one after another, and their counts."""
-        if not chunks:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
-        words = [SPACE + c.decode() for c in chunks]
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw = data.tobytes()
+        words = [SPACE + raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
         codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size + 1) - size - 1
@@ -214,7 +213,7 @@ class PieceEncoder(ChunkEncoder):
             at = np.repeat(np.arange(len(out)), width)
             out, word = out[at], word[at]
             out[np.isin(at, unknown)] = self.byte[np.frombuffer(b"".join(spelled), np.uint8)]
-        return out, np.bincount(word, minlength=len(words)).astype(np.int32)
+        return out, np.bincount(word, minlength=len(words))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), SPACE, " ")
@@ -303,7 +302,7 @@ def encoded(docs, path: str):
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "n_pieces": pa.array(np.diff(offsets)), "n_byte_pieces": pa.array(own[offsets[1:]] - own[offsets[:-1]]), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROW_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), ROW_SCHEMA)
 
 
 def op10_suffix_pieces(spark, sf_dir):
