@@ -38,7 +38,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize("seed,params", [(1, jaccard.Params()), (2, jaccard.Params(chunk=8, heavy_share=10, rounds=2))])
+@pytest.mark.parametrize("seed,params", [(1, jaccard.Params()), (2, jaccard.Params(chunk=8, heavy_share=10, rounds=2)), (3, jaccard.Params(chunk=16, bucket=300, flush=2000, pack=2))])
 def test_components_are_exact(spark, seed, params):
     r = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(250)] + ["Zoë"]
@@ -51,6 +51,8 @@ def test_components_are_exact(spark, seed, params):
             b[r.randrange(len(b))] = r.choice(vocabulary)
         rows.append((k, " ".join(b + (doc(r.randint(1, 30)) if r.random() < 0.2 else []))))
     rows += [(500, None), (501, ""), (502, "a b"), (503, "A  b\n"), (504, " \t "), (505, "x" * 10_000)]
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1024))  # and its complement collide under polynomial hashes modulo 2^64
+    rows += [(506, word), (507, word.translate(str.maketrans("ab", "ba")))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "lo": F.lit("clash"), "token": F.lit(None).cast("string")})
     got = {x[0]: (x[1], x[2]) for x in jaccard.components(df.repartition(4), params).collect()}
     assert got == brute_components(rows)

@@ -1,17 +1,20 @@
 """N-gram Jaccard join by a token-group matrix, exact, with connected components.
 
-A document's set holds the 64-bit hashes of its distinct n-word shingles; documents with equal sets are one node. The steps:
+A document's set holds the 64-bit hashes of its distinct n-word shingles; documents with equal sets (by a
+hash of 128 bits, 96 of them in step 2) are one node. The steps:
 
 1. Tokens that about a five-hundredth of all documents hold are found over the whole table by lossy counts of each task, added up.
    There are at most 500 times the mean set size of them.
 2. All other tokens travel once, packed as binary runs, to the task of their bucket, where those that one node alone
-   holds fall out. Only nodes with enough shared tokens to reach the threshold at all go on.
+   holds fall out. Only nodes with enough shared tokens to reach the threshold at all go on. Tokens are counted before, so that
+   there are buckets enough for each to fit in memory; a task takes its buckets one after another.
 3. Nodes with one min-hash meet in chunks of bounded size; within a chunk, each node joins the first leader that it links to.
    A leader and its nodes are a group: its row holds the union of its tokens and its members. Leaders meet again under other
    min-hashes, in other chunks, so that a family of any size becomes one component, or a few, without its pairs.
 4. The matrix (token, group) holds the prefix tokens, rarest first, of each group's members. A node's prefix
    tokens bring it to the groups of other components that could hold a link; the overlap of the node with the group's
-   union bounds every member's, and only groups that reach the threshold are opened and compared, member by member.
+   union bounds every member's, and only groups that reach the threshold are opened and compared, member by member. A group
+   travels once for each pack of nodes that ask it.
 5. Links between components are closed by alternating large-star and small-star rounds on saved tables.
 
 Every link between different components is found in step 4, since linked sets share a token of both prefixes in any
@@ -38,13 +41,18 @@ HOT_DF = np.uint32(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Params:
-    """words: of a shingle; percent: least Jaccard similarity in hundredths; chunk: nodes that meet in one chunk, on average at most."""
+    """words: of a shingle; percent: least Jaccard similarity in hundredths; chunk: nodes that meet in one chunk, on average at most;
+    bucket: tokens that a task holds at once, on average at most; flush: tokens that a task gathers before it sends them; pack: nodes
+    that ask one copy of a group."""
 
     words: int = 5
     percent: int = 80
     heavy_share: int = 500
     chunk: int = 128
     rounds: int = 4
+    bucket: int = 2_000_000
+    flush: int = 1_000_000
+    pack: int = 1024
 
 
 def shingle_sets(column, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +100,21 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _numbered(lo: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct node, which of them each place has); a node is named by 96 bits."""
+    order = np.lexsort((mid, lo))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (lo[order[1:]] != lo[order[:-1]]) | (mid[order[1:]] != mid[order[:-1]])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return order[fresh], back
+
+
 def _distinct_nodes(column, words):
     sets, offsets = shingle_sets(column, words)
     hi, lo = node_ids(sets, offsets)
     n = np.diff(offsets)
-    _, first = np.unique(lo, return_index=True)
+    first, _ = _numbered(lo, hi)
     first = first[n[first] > 0]
     return sets, offsets, hi, lo, first
 
@@ -126,27 +144,54 @@ def scan(docs, spark, p: Params):
             zero = pa.array(np.zeros(len(tokens), np.int64))
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(tokens), np.int32)), "a": _long(tokens), "b": pa.array(counts), "hi": zero, "lo": zero})
 
-    return K.saved(docs.select("doc_id", "text").mapInArrow(run, schema), spark, "jaccard-scan")
+    return K.saved(docs.select("doc_id", "text").mapInArrow(K.tidy(run), schema), spark, "jaccard-scan")
 
 
-def heavy_tokens(found, p: Params) -> np.ndarray:
+def heavy_tokens(found, docs: int, p: Params) -> np.ndarray:
     """Tokens that at least a heavy_share-th of all documents hold, as counted; at most heavy_share times the mean set size."""
-    docs = found.where("kind = 0").count()
     rows = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= max(64, docs // p.heavy_share)).select("a").toArrow()
     return np.sort(rows.column("a").to_numpy().view(U64))
 
 
-PACKED = "kind int, bucket int, hi binary, lo binary, sizes binary, counts binary, tokens binary, dfs binary"
-_PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hi", "lo", "sizes", "counts", "tokens", "dfs"))])
+@dataclass(frozen=True)
+class Buckets:
+    """count buckets in `partitions` partitions: bucket b is part b // partitions of the partition that keys[b % partitions] is dealt to."""
+
+    partitions: int
+    count: int
+    keys: tuple[int, ...]
+
+    @staticmethod
+    def of(spark, tokens: int, p: Params) -> "Buckets":
+        """As many as there are partitions, or more if else one had more than p.bucket tokens."""
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = spark.range(40 * partitions).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).agg(F.min("k").alias("k")).collect()
+        keys = {r["p"]: r["k"] for r in found}
+        return Buckets(partitions, max(partitions, -(-tokens // p.bucket)), tuple(keys.get(i, i) for i in range(partitions)))
+
+    def dealt(self, packed):
+        """Rows in their partitions, a bucket after another."""
+        out = packed.repartition(self.partitions, "bucket")
+        return out.sortWithinPartitions("sub") if self.count > self.partitions else out
+
+    def of_tokens(self, x: np.ndarray) -> np.ndarray:
+        return (x % U64(self.count)).astype(np.int32)
+
+
+PACKED = "kind int, bucket int, sub int, lo binary, hi binary, sizes binary, counts binary, tokens binary, dfs binary"
+_PACKED_ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in PACKED.split(", ")])
+
 
+def _packed(kind, b: int, buckets: Buckets, lo, hi, counts, tokens, sizes=None, dfs=None):
+    """One row: the nodes with entries in a bucket, how many each has, and all entries in a row.
 
-def _packed(kind, bucket, lo, counts, tokens, hi=None, sizes=None, dfs=None):
-    """One row: the nodes (low halves) with entries in a bucket, how many each has, and all entries in a row. Kind 1 alone names whole nodes and sizes."""
+    Kind 1 names whole nodes and sizes; the others name nodes by 96 bits.
+    """
     some = lambda x, kind: b"" if x is None else x.astype(kind).tobytes()
-    return {"kind": kind, "bucket": bucket, "hi": some(hi, U64), "lo": lo.tobytes(), "sizes": some(sizes, np.int32), "counts": some(counts, np.int32), "tokens": tokens.tobytes(), "dfs": some(dfs, np.uint32)}
+    return {"kind": kind, "bucket": buckets.keys[b % buckets.partitions], "sub": b // buckets.partitions, "lo": lo.tobytes(), "hi": hi.tobytes(), "sizes": some(sizes, np.int32), "counts": some(counts, np.int32), "tokens": tokens.tobytes(), "dfs": some(dfs, np.uint32)}
 
 
-def _by_bucket(kind, keys, bucket, node, lo, tokens, dfs=None):
+def _by_bucket(kind, buckets: Buckets, bucket, node, lo, mid, tokens, dfs=None):
     """Rows of _packed(), one a bucket, from entries (bucket, node index, token)."""
     order = np.lexsort((node, bucket))
     bucket, node, tokens = bucket[order], node[order], tokens[order]
@@ -155,165 +200,172 @@ def _by_bucket(kind, keys, bucket, node, lo, tokens, dfs=None):
     for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
         own = node[a:b]
         runs = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        yield _packed(kind, keys[bucket[a]], lo[own[runs]], np.diff(np.append(runs, b - a)), tokens[a:b], dfs=None if dfs is None else dfs[a:b])
-
-
-def _batches_of(rows):
-    rows = list(rows)
-    for at in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_pylist(rows[at : at + 64], schema=_PACKED_ARROW)
+        yield _packed(kind, int(bucket[a]), buckets, lo[own[runs]], mid[own[runs]], np.diff(np.append(runs, b - a)), tokens[a:b], dfs=None if dfs is None else dfs[a:b])
 
 
-def bucket_keys(spark, partitions: int) -> list[int]:
-    """For each of so many partitions a key that Spark's hash deals to it, so that buckets fill partitions evenly."""
-    found = spark.range(40 * partitions).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).agg(F.min("k").alias("k")).collect()
-    keys = {r["p"]: r["k"] for r in found}
-    return [keys.get(i, i) for i in range(partitions)]
+def _batches_of(rows, size: int = 64):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_pylist(held, schema=_PACKED_ARROW)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_PACKED_ARROW)
 
 
-def spread(docs, heavy: np.ndarray, p: Params, keys: list[int]):
+def spread(docs, heavy: np.ndarray, p: Params, buckets: Buckets):
     """Kind 0: light tokens to their buckets. Kind 1: each node with its size and heavy tokens."""
-    buckets = len(keys)
+    shared_heavy = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded, see heavy_tokens()
 
     def run(batches):
-        held, size = [], 0
+        held, size, heavy = [], 0, shared_heavy.value
 
         def flush():
-            lo = np.concatenate([h[1] for h in held])
-            _, first = np.unique(lo, return_index=True)
-            keep = np.zeros(len(lo), bool)
-            keep[first] = True
-            hi, n, tokens = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            hi, lo, n, tokens = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            mid = hi.astype(np.uint32)
+            keep = np.zeros(len(lo), bool)
+            keep[_numbered(lo, mid)[0]] = True
             node = np.repeat(np.arange(len(n)), n)
-            use = keep[node]
+            use = np.flatnonzero(keep[node])
             node, tokens = node[use], tokens[use]
             at = np.minimum(np.searchsorted(heavy, tokens), max(len(heavy) - 1, 0))
             hot = heavy[at] == tokens if len(heavy) else np.zeros(len(tokens), bool)
-            light = ~hot
-            yield from _batches_of(_by_bucket(0, keys, (tokens[light] % U64(buckets)).astype(np.int32), node[light], lo, tokens[light]))
+            light, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+            yield from _batches_of(_by_bucket(0, buckets, buckets.of_tokens(tokens[light]), node[light], lo, mid, tokens[light]))
             whole = np.flatnonzero(keep)
-            home = (lo[whole] % U64(buckets)).astype(np.int32)
+            home = buckets.of_tokens(lo[whole])
             order = np.argsort(home, kind="stable")
             whole, home = whole[order], home[order]
             node, tokens = node[hot], tokens[hot]
             begin, end = np.searchsorted(node, whole), np.searchsorted(node, whole, "right")
             cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
-            rows = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(home))):
-                who = whole[a:b]
-                rows.append(_packed(1, keys[home[a]], lo[who], (end - begin)[a:b], tokens[_ranges(begin[a:b], (end - begin)[a:b])], hi=hi[who], sizes=n[who]))
-            yield from _batches_of(rows)
+            yield from _batches_of(_packed(1, int(home[a]), buckets, lo[whole[a:b]], hi[whole[a:b]], (end - begin)[a:b], tokens[_ranges(begin[a:b], (end - begin)[a:b])], sizes=n[whole[a:b]]) for a, b in zip(cuts, np.append(cuts[1:], len(home))))
 
         for batch in batches:
             for part in K.slices(batch, "text"):
                 sets, offsets, hi, lo, first = _distinct_nodes(part.column("text"), p.words)
                 n = np.diff(offsets)
                 held.append((hi[first], lo[first], n[first], sets[_ranges(offsets[first], n[first])]))
-                size += len(sets)
-                if size >= 1_500_000:
+                size += len(held[-1][3])
+                if size >= p.flush:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(K.tidy(run), PACKED)
 
 
 def _column(rows: list[dict], name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
 
-def shared_tokens(packed, partitions: int, keys: list[int]):
+def _buckets_of(batches):
+    """Lists of the rows of one bucket, in the order of buckets."""
+    held = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["sub"] != held[-1]["sub"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def shared_tokens(packed, buckets: Buckets):
     """Drops tokens of one node alone; sends the others, with the number of nodes that hold them, to their node's bucket."""
 
-    def run(batches):
-        rows = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 1:
-                    yield from _batches_of([row])
-                else:
-                    rows.append(row)
+    def one(rows):
+        yield from _batches_of(row for row in rows if row["kind"] == 1)
+        rows = [row for row in rows if row["kind"] == 0]
         if not rows:
             return
-        lo, counts, tokens = _column(rows, "lo", U64), _column(rows, "counts", np.int32), _column(rows, "tokens", U64)
+        lo, mid, counts, tokens = _column(rows, "lo", U64), _column(rows, "hi", np.uint32), _column(rows, "counts", np.int32), _column(rows, "tokens", U64)
         rows.clear()
+        first, number = _numbered(lo, mid)
         order = np.argsort(tokens)
         ranked = tokens[order]
         same = np.zeros(len(ranked) + 1, bool)
         same[1:-1] = ranked[1:] == ranked[:-1]
-        many = order[same[1:] | same[:-1]]
+        many = order[np.flatnonzero(same[1:] | same[:-1])]
         del order, ranked, same
         if not len(many):
             return
-        node = np.repeat(np.arange(len(counts)), counts)[many]
+        node = np.repeat(number, counts)[many]
         tokens = tokens[many]
-        order = np.lexsort((lo[node], tokens))
+        order = np.lexsort((node, tokens))
         tokens, node = tokens[order], node[order]
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (lo[node[1:]] != lo[node[:-1]])
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])
         tokens, node = tokens[fresh], node[fresh]
-        _, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[inverse]
-        keep = df > 1
+        cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        df = np.diff(np.append(cuts, len(tokens)))
+        df = np.repeat(df, df)
+        keep = np.flatnonzero(df > 1)
         tokens, node, df = tokens[keep], node[keep], df[keep]
-        ids, back = np.unique(lo, return_inverse=True)
-        yield from _batches_of(_by_bucket(2, keys, (ids % U64(len(keys))).astype(np.int32)[back[node]], back[node], ids, tokens, df))
+        lo, mid = lo[first], mid[first]
+        yield from _batches_of(_by_bucket(2, buckets, buckets.of_tokens(lo)[node], node, lo, mid, tokens, df))
+
+    def run(batches):
+        for rows in _buckets_of(batches):
+            yield from one(rows)
 
-    return packed.repartition(partitions, "bucket").mapInArrow(run, PACKED)
+    return buckets.dealt(packed).mapInArrow(K.tidy(run), PACKED)
 
 
 def _minhash(tokens: np.ndarray, salt: int) -> np.ndarray:
     return K.mix(tokens ^ U64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
 
-def survivors(shared, partitions: int, p: Params):
+def survivors(shared, buckets: Buckets, p: Params):
     """A row a node that shares enough tokens to link at all: its shared tokens, rarest first, prefix length and min-hashes."""
     schema = "hi long, lo long, n int, prefix int, tokens binary, " + ", ".join(f"m{r} long" for r in range(p.rounds))
 
-    def run(batches):
-        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["kind"])
-        if not rows:
-            return
-        for row in rows:
-            if row["kind"] == 1:
-                row["dfs"] = np.full(len(row["tokens"]) // 8, HOT_DF, np.uint32).tobytes()
+    def one(rows):
+        rows.sort(key=lambda row: row["kind"])
+        whole = [row for row in rows if row["kind"] == 1]
+        for row in whole:
+            row["dfs"] = np.full(len(row["tokens"]) // 8, HOT_DF, np.uint32).tobytes()
+        hi, sizes = _column(whole, "hi", U64), _column(whole, "sizes", np.int32)
         lo, counts, tokens, dfs = _column(rows, "lo", U64), _column(rows, "counts", np.int32), _column(rows, "tokens", U64), _column(rows, "dfs", np.uint32)
-        hi, sizes = _column(rows, "hi", U64), _column(rows, "sizes", np.int32)
+        mid = np.concatenate([hi.astype(np.uint32), *(np.frombuffer(r["hi"], np.uint32) for r in rows[len(whole) :])])
         rows.clear()
         # Rows of kind 1 come first and name every node, so that the first place of each has its size.
-        ids, canon, back = np.unique(lo, return_index=True, return_inverse=True)
-        have = np.bincount(back, counts, len(ids)).astype(np.int64)
+        canon, back = _numbered(lo, mid)
+        have = np.bincount(back, counts, len(canon)).astype(np.int64)
         fit = 100 * have >= p.percent * sizes[canon]  # repeated heavy tokens may let some through here; they go below
         node = np.repeat(back, counts)
-        use = fit[node]
+        use = np.flatnonzero(fit[node])
         node, tokens, dfs = node[use], tokens[use], dfs[use]
         order = np.lexsort((tokens, dfs, node))
         node, tokens, dfs = node[order], tokens[order], dfs[order]
         fresh = np.ones(len(node), bool)
         fresh[1:] = (node[1:] != node[:-1]) | (tokens[1:] != tokens[:-1])
         node, tokens = node[fresh], tokens[fresh]
-        bounds = np.searchsorted(node, np.arange(len(ids) + 1))
+        bounds = np.searchsorted(node, np.arange(len(canon) + 1))
         have = np.diff(bounds)
         n = sizes[canon].astype(np.int64)
         need = (p.percent * n + 99) // 100
         who = np.flatnonzero((have >= need) & (have > 0))
         out = {"hi": _long(hi[canon[who]]), "lo": _long(lo[canon[who]]), "n": pa.array(n[who].astype(np.int32)), "prefix": pa.array((have - need + 1)[who].astype(np.int32))}
+        # The tokens of the chosen nodes alone, so that each run ends where the next begins.
+        begin = np.cumsum(have[who]) - have[who]
+        chosen = tokens[_ranges(bounds[:-1][who], have[who])]
         for r in range(p.rounds):
-            keys = _minhash(tokens, r + 1)
-            low = np.minimum.reduceat(keys, bounds[:-1][who]) if len(who) else np.zeros(0, U64)
-            # reduceat runs to the next chosen node; nodes between hold other tokens, so mask by the own end instead where they differ
-            gaps = np.flatnonzero(bounds[1:][who] != np.append(bounds[:-1][who][1:], len(tokens))) if len(who) else []
-            for g in gaps:
-                low[g] = keys[bounds[who[g]] : bounds[who[g] + 1]].min()
-            out[f"m{r}"] = _long(low)
+            out[f"m{r}"] = _long(np.minimum.reduceat(_minhash(chosen, r + 1), begin) if len(who) else np.zeros(0, U64))
         for at in range(0, len(who), 1000):
             part = {k: v[at : at + 1000] for k, v in out.items()}
             part["tokens"] = pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in who[at : at + 1000]], pa.binary())
             yield pa.RecordBatch.from_pydict({k: part[k] for k in ("hi", "lo", "n", "prefix", "tokens", *(f"m{r}" for r in range(p.rounds)))})
 
-    return shared.repartition(partitions, "bucket").mapInArrow(run, schema)
+    def run(batches):
+        for rows in _buckets_of(batches):
+            yield from one(rows)
+
+    return buckets.dealt(shared).mapInArrow(K.tidy(run), schema)
 
 
 def links(inter: int, n: int, m: int, p: Params) -> bool:
@@ -401,7 +453,7 @@ def meet(nodes, r: int, p: Params, partitions: int):
 
     names = ["hi", "lo", "n", "prefix", "tokens", *(f"m{i}" for i in range(p.rounds))]
     schema = "hi long, lo long, n int, prefix int, tokens binary, " + ", ".join(f"m{i} long" for i in range(p.rounds)) + ", lhi long, llo long"
-    return salted.select(*names, "chunk").repartition(partitions, key, "chunk").sortWithinPartitions(key, "chunk").mapInArrow(run, schema)
+    return salted.select(*names, "chunk").repartition(partitions, key, "chunk").sortWithinPartitions(key, "chunk").mapInArrow(K.tidy(run), schema)
 
 
 def _arrow_of(p: Params) -> pa.Schema:
@@ -435,7 +487,7 @@ def group_rows(joined, p: Params, partitions: int):
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     arrow = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in GROUP.split(", ")])
-    return joined.repartition(partitions, "lhi", "llo").sortWithinPartitions("lhi", "llo").mapInArrow(run, GROUP)
+    return joined.repartition(partitions, "lhi", "llo").sortWithinPartitions("lhi", "llo").mapInArrow(K.tidy(run), GROUP)
 
 
 def _exploded(df, source: str, keys: list[str], count: str | None = None, rest: str | None = None):
@@ -454,28 +506,43 @@ def _exploded(df, source: str, keys: list[str], count: str | None = None, rest:
             yield pa.RecordBatch.from_arrays([*both, *(batch.column(k).take(take) for k in keys)], ["token", "rest", *keys])
 
     kinds = dict(df.dtypes)
-    return df.mapInArrow(run, ", ".join(["token long, rest int", *(f"{k} {kinds[k]}" for k in keys)]))
+    return df.mapInArrow(K.tidy(run), ", ".join(["token long, rest int", *(f"{k} {kinds[k]}" for k in keys)]))
 
 
 def _opened(batches, p: Params):
-    """For each (node, group): the overlap with the group's union, then, if that can do, with each member."""
+    """Rows come by group: first the group (hi is null), then the nodes that ask it. A node's overlap with the union bounds that with each member."""
+    group = None
     for batch in batches:
         out = {"hi": [], "lo": [], "ghi": [], "glo": []}
         cols = {c: batch.column(c).to_pylist() for c in ("hi", "lo", "n", "tokens", "ghi", "glo", "least", "group_tokens", "member_counts", "member_sizes", "member_positions")}
-        for i, n in enumerate(cols["n"]):
-            own, union = np.frombuffer(cols["tokens"][i], U64), np.frombuffer(cols["group_tokens"][i], U64)
-            mark = np.isin(union, own)
-            bound = int(mark.sum())
-            if not links(bound, n, max(cols["least"][i], bound), p):
+        for i, hi in enumerate(cols["hi"]):
+            if hi is None:
+                counts, sizes, positions = (np.frombuffer(cols[c][i], np.int32) for c in ("member_counts", "member_sizes", "member_positions"))
+                group = (np.frombuffer(cols["group_tokens"][i], U64), cols["least"][i], np.cumsum(counts) - counts, sizes, positions)
+                continue
+            union, least, begin, sizes, positions = group
+            n, own = cols["n"][i], np.frombuffer(cols["tokens"][i], U64)
+            at = np.searchsorted(union, own)
+            at = at[union[np.minimum(at, len(union) - 1)] == own]
+            if not links(len(at), n, max(least, len(at)), p):
                 continue
-            counts, sizes, positions = (np.frombuffer(cols[c][i], np.int32) for c in ("member_counts", "member_sizes", "member_positions"))
-            inter = np.add.reduceat(mark[positions].astype(np.int64), np.cumsum(counts) - counts)
+            mark = np.zeros(len(union), np.int64)
+            mark[at] = 1
+            inter = np.add.reduceat(mark[positions], begin)
             if np.any(100 * inter >= p.percent * (n + sizes - inter)):
                 for k in out:
                     out[k].append(cols[k][i])
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
 
 
+def _asked(pairs, nodes, groups, partitions: int, p: Params):
+    """Each group, a copy for every p.pack nodes that ask it, followed by these nodes."""
+    packs = pairs.groupBy("ghi", "glo").agg(F.ceil(F.count("*") / p.pack).alias("packs"))
+    copies = groups.join(packs, ["ghi", "glo"]).withColumn("pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1))).drop("packs")
+    asking = pairs.join(packs, ["ghi", "glo"]).withColumn("pack", F.pmod(F.xxhash64("hi", "lo"), "packs")).drop("packs").join(nodes.select("hi", "lo", "n", "tokens"), ["hi", "lo"])
+    return copies.unionByName(asking, allowMissingColumns=True).repartition(partitions, "ghi", "glo", "pack").sortWithinPartitions("ghi", "glo", "pack", F.asc_nulls_first("hi"))
+
+
 def closed(edges, spark, rounds: int = 40):
     """Connected components of edges(a, b), which are comparable columns: rows (a, root), root the least of a component.
 
@@ -504,11 +571,11 @@ def components(docs, p: Params = Params()):
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = bucket_keys(spark, parts)
     found = scan(docs, spark, p)
-    heavy = heavy_tokens(found, p)
-    shared = shared_tokens(spread(docs, heavy, p, keys), parts, keys)
-    nodes = K.saved(survivors(shared, parts, p), spark, "jaccard-nodes")
+    n_docs, n_tokens = found.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    buckets = Buckets.of(spark, n_tokens, p)
+    shared = shared_tokens(spread(docs, heavy_tokens(found, n_docs, p), p, buckets), buckets)
+    nodes = K.saved(survivors(shared, buckets, p), spark, "jaccard-nodes")
     joined = K.saved(meet(nodes, 0, p, parts), spark, "jaccard-joined")
     # Leaders meet under each of the other min-hashes, in other chunks each time.
     leaders = joined.where("hi = lhi and lo = llo").drop("lhi", "llo")
@@ -528,8 +595,8 @@ def components(docs, p: Params = Params()):
     need = F.ceil(p.percent * (F.col("n") + F.col("least")) / (100 + p.percent))
     near = (F.col("comp") < F.col("gcomp")) & (100 * F.col("most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("least")) & (F.col("rest") >= need) & (F.col("grest") >= need)
     pairs = K.saved(query.join(ends, "token").join(matrix, "token").where(near).select("hi", "lo", "ghi", "glo").distinct(), spark, "jaccard-pairs")
-    wide = pairs.join(nodes.select("hi", "lo", "n", "tokens"), ["hi", "lo"]).join(groups.drop("matrix_tokens", "matrix_rest", "members", "most"), ["ghi", "glo"])
-    linked = K.saved(wide.mapInArrow(lambda b: _opened(b, p), "hi long, lo long, ghi long, glo long"), spark, "jaccard-links")
+    asked = _asked(pairs, nodes, groups.drop("matrix_tokens", "matrix_rest", "members", "most"), parts, p)
+    linked = K.saved(asked.mapInArrow(K.tidy(lambda b: _opened(b, p)), "hi long, lo long, ghi long, glo long"), spark, "jaccard-links")
     named_by = chain.select("hi", "lo", F.col("comp.id").alias("id"))
     edges = linked.join(named_by.withColumnRenamed("id", "a"), ["hi", "lo"]).join(named_by.select(F.col("hi").alias("ghi"), F.col("lo").alias("glo"), F.col("id").alias("b")), ["ghi", "glo"]).select("a", "b")
     roots = closed(edges, spark)
