@@ -34,7 +34,8 @@ def test_no_pages(spark, tmp_path):
 
 
 # ---- vectors
-def test_links_against_brute_force(spark):
+@pytest.mark.parametrize("params", [neardup.Params(chunk=16, per_centroid=20), neardup.Params(chunk=16, per_centroid=20, shard=12, pack=8)])
+def test_links_against_brute_force(spark, params):
     r = np.random.default_rng(1)
     rows, k = [], 0
     for label in (0, 1, None):
@@ -46,8 +47,9 @@ def test_links_against_brute_force(spark):
         rows.append((k, [1.0, *(float(x) for x in 0.001 * r.normal(size=15))], 0))
         k += 1
     rows += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] * 16, 0), (k + 3, [None] * 16, 0), (k + 4, [1.0], 0), (k + 5, [2.0], 0), (k + 6, [], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {x[0]: (x[1], x[2], x[3]) for x in neardup.near_duplicates(df, neardup.Params(chunk=16, per_centroid=20)).collect()}
+    rows += [(k + 7, list(rows[0][1]), 0), (k + 8, list(rows[0][1]), 0)]  # copies of a vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "'s' AS space", "1 AS ball", "2.0 AS vec")
+    got = {x[0]: (x[1], x[2], x[3]) for x in neardup.near_duplicates(df, params).collect()}
     links, parent = {x[0]: 0 for x in rows}, {x[0]: x[0] for x in rows}
 
     def top(x):

@@ -4,12 +4,14 @@ Vectors are compared within one label (and one length). With t the angle of the
 
 1. Balls: vectors join a leader within t/2, in chunks of bounded size, so all vectors of a ball are linked with one another and a group
    of copies of any size becomes one ball. Leaders meet again in later rounds; a ball joins another whole if it stays within t/2.
-2. Shards: each leader goes to its nearest few of the centroids, which are a bounded sample of rows. Each shard builds a
-   robust-pruned graph; the adjacency lists of a leader from all its shards are united.
+2. Shards: each leader goes to its nearest few of the centroids, which are a bounded sample of rows, drawn by a hash over the
+   whole table; a shard that holds too many leaders is cut again about some of them. Each shard builds a robust-pruned graph; the
+   adjacency lists of a leader from all its shards are united.
 3. Each leader is searched in its nearest shard, beside the neighbours that the united lists bring in: greedily from the
    medoid, then expanding over all that lies in range, which is t plus both balls' radii.
 4. Two balls whose angle and radii decide for all pairs are linked or left whole; of the others, each vector is compared with
-   the leader, and only where that does not decide, with the ball's vectors in packed blocks, by cosine in double precision.
+   the leader, and only where that does not decide, with the ball's vectors in packed blocks, by cosine in double precision. A
+   block travels once for each pack of vectors that ask it.
 5. Counts are sums of ball sizes and of such comparisons; components come from links between balls.
 
 recall() audits the links of a stated set of vectors against all rows in blocks.
@@ -36,13 +38,16 @@ SLACK = 1e-6
 
 @dataclass(frozen=True)
 class Params:
-    """centroids: sampled rows at most; per_centroid: rows for each wished; overlap: shards a leader is in; chunk: rows that meet at most on average."""
+    """centroids: sampled rows, about so many at most; per_centroid: rows for each wished; shard: leaders beyond which a shard is cut again;
+    overlap: shards a leader is in; chunk: rows that meet at most on average; pack: vectors that ask one copy of a block."""
 
     cosine: float = 0.98
     centroids: int = 4096
     per_centroid: int = 1000
+    shard: int = 8192
     overlap: int = 6
     chunk: int = 512
+    pack: int = 2048
     rounds: int = 3
     degree: int = 24
     pool: int = 64
@@ -87,36 +92,77 @@ def prepared(vectors, spark):
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id").cast(pa.int64()), "seq": pa.array(np.arange(seq, seq + n)), "space": pa.array(space, pa.string()), "vec": pa.array(vec, pa.binary())})
             seq += n
 
-    return K.saved(vectors.select("vec_id", "embedding", "label").mapInArrow(run, "vec_id long, seq long, space string, vec binary"), spark, "vectors")
+    return K.saved(vectors.select("vec_id", "embedding", "label").mapInArrow(K.tidy(run), "vec_id long, seq long, space string, vec binary"), spark, "vectors")
 
 
 def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+def stacked(vecs: list[bytes]) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
+
+
+def by_length(vecs: list[bytes]):
+    """(indices, matrix) of the vectors of each length."""
+    size = np.fromiter(map(len, vecs), np.int64, len(vecs))
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        yield rows, stacked([vecs[i] for i in rows.tolist()])
+
+
+def gaps(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The angle of each vector to its partner."""
+    out = np.zeros(len(a))
+    for rows, x in by_length(a):
+        out[rows] = np.arccos(np.clip(np.einsum("ij,ij->i", x, stacked([b[i] for i in rows.tolist()])), -1.0, 1.0))
+    return out
+
+
 def chosen_centroids(rows, p: Params) -> dict[str, np.ndarray]:
-    """Of each space, sampled vectors that lie apart by more than the angle; at most p.centroids in all."""
-    total = rows.where("space is not null").count()
+    """Of each space, vectors drawn by a hash over the whole table that lie apart by more than the angle; about p.centroids at most, and one a space."""
+    usable = rows.where("space is not null")
+    total = usable.count()
     want = min(p.centroids, max(64, total // p.per_centroid))
-    sample = rows.where("space is not null").sample(min(1.0, 2.0 * want / max(total, 1)), 29).select("space", "vec").limit(want).collect()
+    sample = usable.where(F.pmod(F.xxhash64("seq", F.lit(29)), F.lit(max(1, total // want))) == 0).select("space", "vec").collect()
     seen = {r[0] for r in sample}
     if total:
-        for r in rows.where("space is not null").groupBy("space").agg(F.min_by("vec", "seq").alias("vec")).limit(p.centroids).collect():
-            if r[0] not in seen:
-                sample.append(r)
-    out: dict[str, list] = {}
+        sample += [r for r in usable.groupBy("space").agg(F.min_by("vec", "seq").alias("vec")).limit(p.centroids).collect() if r[0] not in seen]
+    found: dict[str, list[bytes]] = {}
     for space, vec in sample:
-        own, x = out.setdefault(space, []), np.frombuffer(vec)
-        if not own or angles(x[None], np.stack(own)).min() > p.angle:
-            own.append(x)
-    return {k: np.stack(v) for k, v in out.items()}
-
-
-def _nearest(space: str, vec: np.ndarray, centroids, k: int) -> np.ndarray:
-    own = centroids.get(space)
-    if own is None or len(own) == 1:
-        return np.zeros(1, np.int64)
-    return np.argsort(-(own @ vec), kind="stable")[:k]
+        found.setdefault(space, []).append(vec)
+    out = {}
+    for space, vecs in found.items():
+        x, kept = stacked(vecs), []
+        near = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            if not near[i]:
+                kept.append(i)
+                near |= x @ x[i] >= p.cosine
+        out[space] = x[kept]
+    return out
+
+
+def _nearest(x: np.ndarray, centroids: np.ndarray | None, k: int) -> np.ndarray:
+    """The k nearest centroids of each row, nearest first."""
+    if centroids is None or len(centroids) == 1:
+        return np.zeros((len(x), 1), np.int64)
+    k = min(k, len(centroids))
+    out = np.empty((len(x), k), np.int64)
+    for a in range(0, len(x), 1024):
+        score = -(x[a : a + 1024] @ centroids.T)
+        part = np.argpartition(score, k - 1, 1)[:, :k] if k < len(centroids) else np.broadcast_to(np.arange(k), score.shape)
+        out[a : a + 1024] = np.take_along_axis(part, np.argsort(np.take_along_axis(score, part, 1), 1, kind="stable"), 1)
+    return out
+
+
+def _by_space(batch):
+    """(space, indices, matrix) of a batch's rows."""
+    spaces, vecs = np.array(batch.column("space").to_pylist(), object), batch.column("vec").to_pylist()
+    for space in set(spaces.tolist()):
+        rows = np.flatnonzero(spaces == space)
+        yield space, rows, stacked([vecs[i] for i in rows.tolist()])
 
 
 def _groups(batches, keys):
@@ -136,22 +182,24 @@ def _groups(batches, keys):
 BALL = "space string, seq long, vec binary, radius double, ball long"
 
 
-def meet(leaders, centroids, p: Params, r: int, partitions: int):
-    """leaders(space, seq, vec, radius): each with the ball that it joins (its own seq if it leads one)."""
+def meet(leaders, shared, p: Params, r: int, partitions: int):
+    """leaders(space, seq, vec, radius): each with the ball that it joins (its own seq if it leads one). shared: the broadcast centroids."""
 
     def cell(batches):
         for batch in batches:
-            at = [int(_nearest(s, np.frombuffer(v), centroids, 1)[0]) for s, v in zip(batch.column("space").to_pylist(), batch.column("vec").to_pylist())]
-            yield batch.append_column("cell", pa.array(at, pa.int32()))
+            at = np.zeros(batch.num_rows, np.int32)
+            for space, rows, x in _by_space(batch):
+                at[rows] = _nearest(x, shared.value.get(space), 1)[:, 0]
+            yield batch.append_column("cell", pa.array(at))
 
-    placed = leaders.select("space", "seq", "vec", "radius").mapInArrow(cell, "space string, seq long, vec binary, radius double, cell int")
+    placed = leaders.select("space", "seq", "vec", "radius").mapInArrow(K.tidy(cell), "space string, seq long, vec binary, radius double, cell int")
     large = placed.groupBy("space", "cell").count().where(F.col("count") > p.chunk)
     chunked = placed.join(large, ["space", "cell"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("seq", F.lit(r)), F.ceil(F.col("count") / p.chunk)), F.lit(0))).drop("count")
 
     def run(batches):
         for _, rows in _groups(batches, ("space", "cell", "chunk")):
             rows.sort(key=lambda x: x["seq"])
-            x, radius = np.stack([np.frombuffer(v["vec"]) for v in rows]), np.array([v["radius"] for v in rows])
+            x, radius = stacked([v["vec"] for v in rows]), np.array([v["radius"] for v in rows])
             ball = np.full(len(rows), -1)
             for i in range(len(rows)):
                 if ball[i] < 0:
@@ -162,7 +210,7 @@ def meet(leaders, centroids, p: Params, r: int, partitions: int):
             seq = np.array([v["seq"] for v in rows])
             yield pa.RecordBatch.from_pydict({"space": [v["space"] for v in rows], "seq": pa.array(seq), "vec": pa.array([v["vec"] for v in rows], pa.binary()), "radius": pa.array(radius), "ball": pa.array(seq[ball])})
 
-    return chunked.repartition(partitions, "space", "cell", "chunk").sortWithinPartitions("space", "cell", "chunk").mapInArrow(run, BALL)
+    return chunked.repartition(partitions, "space", "cell", "chunk").sortWithinPartitions("space", "cell", "chunk").mapInArrow(K.tidy(run), BALL)
 
 
 def robust_prune(x: np.ndarray, p: Params, seed: int) -> list[np.ndarray]:
@@ -196,17 +244,62 @@ def robust_prune(x: np.ndarray, p: Params, seed: int) -> list[np.ndarray]:
     return [np.union1d(o, np.array(b[: p.degree], np.int64)) if b else o for o, b in zip(out, back)]
 
 
-def sharded(leaders, centroids, p: Params):
+SHARD = "space string, seq long, vec binary, radius double, members long, shard long, home boolean"
+#: Cuts of one shard; its number is a multiple of this plus the cut.
+CUTS = 1 << 20
+
+
+def sharded(leaders, shared, p: Params):
     """A row a leader and shard; home: is the shard its nearest."""
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [r | {"shard": int(c), "home": k == 0} for r in rows for k, c in enumerate(_nearest(r["space"], np.frombuffer(r["vec"]), centroids, p.overlap))]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("space", pa.string()), ("seq", pa.int64()), ("vec", pa.binary()), ("radius", pa.float64()), ("members", pa.int64()), ("shard", pa.int32()), ("home", pa.bool_())]))
+            for space, rows, x in _by_space(batch):
+                near = _nearest(x, shared.value.get(space), p.overlap)
+                take = pa.array(np.repeat(rows, near.shape[1]))
+                columns = [batch.column(c).take(take) for c in ("space", "seq", "vec", "radius", "members")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(near.ravel() * CUTS), pa.array(np.tile(np.arange(near.shape[1]) == 0, len(rows)))], [c.split()[0] for c in SHARD.split(", ")])
+
+    return leaders.select("space", "seq", "vec", "radius", "members").mapInArrow(K.tidy(run), SHARD)
+
+
+def divided(shards, p: Params, partitions: int):
+    """Shards of more than p.shard leaders are cut about heads, a hash sample of their own leaders; each leader goes to the nearest two cuts."""
+    large = shards.groupBy("space", "shard").agg(F.count("*").alias("size")).where(F.col("size") > p.shard)
+    if not large.head(1):
+        return shards
+    every = F.greatest(F.lit(max(1, p.shard // 4)), F.ceil(F.col("size") / p.centroids))
+    marked = shards.join(large.withColumn("salts", F.ceil(F.col("size") / (8 * p.shard))), ["space", "shard"], "left")
+    rest, big = marked.where("size is null").drop("size", "salts"), marked.where("size is not null")
+    heads = big.where(F.pmod(F.xxhash64("seq", F.lit(5)), every) == 0).groupBy("space", "shard").agg(F.array_sort(F.collect_list("vec")).alias("heads"), F.max("salts").alias("salts"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
+    rows = big.withColumn("salt", F.pmod(F.xxhash64("seq"), "salts")).drop("size", "salts")
+    both = rows.unionByName(heads, allowMissingColumns=True).repartition(partitions, "space", "shard", "salt").sortWithinPartitions("space", "shard", "salt", F.asc_nulls_first("seq"))
+    names = [c.split()[0] for c in SHARD.split(", ")]
 
-    return leaders.select("space", "seq", "vec", "radius", "members").mapInArrow(run, "space string, seq long, vec binary, radius double, members long, shard int, home boolean")
+    def run(batches):
+        key, own = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("space", "shard", "salt"))))
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[a] != key:
+                    key, own = keys[a], None
+                if not batch.column("seq")[a].is_valid:
+                    own = stacked(batch.column("heads")[a].as_py())
+                    a += 1
+                if a == b:
+                    continue
+                part = table.slice(a, b - a).combine_chunks().to_batches()[0]
+                near = _nearest(stacked(part.column("vec").to_pylist()), own, 2)
+                take = pa.array(np.repeat(np.arange(b - a), near.shape[1]))
+                first = np.tile(np.arange(near.shape[1]) == 0, b - a)
+                home = part.column("home").take(take).to_numpy(zero_copy_only=False) & first
+                columns = [part.column(c).take(take) for c in names[:5]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key[1] + 1 + near.ravel()), pa.array(home)], names)
+
+    return rest.unionByName(both.mapInArrow(K.tidy(run), SHARD))
 
 
 def adjacency(shards, p: Params, partitions: int):
@@ -215,10 +308,10 @@ def adjacency(shards, p: Params, partitions: int):
     def run(batches):
         for key, rows in _groups(batches, ("space", "shard")):
             seq = np.array([r["seq"] for r in rows])
-            graph = robust_prune(np.stack([np.frombuffer(r["vec"]) for r in rows]), p, int(key[1]))
+            graph = robust_prune(stacked([r["vec"] for r in rows]), p, int(key[1]))
             yield pa.RecordBatch.from_pydict({"seq": pa.array(seq), "near": pa.array([seq[g].tolist() for g in graph], pa.list_(pa.int64()))})
 
-    lists = shards.select("space", "shard", "seq", "vec").repartition(partitions, "space", "shard").sortWithinPartitions("space", "shard", "seq").mapInArrow(run, "seq long, near array<long>")
+    lists = shards.select("space", "shard", "seq", "vec").repartition(partitions, "space", "shard").sortWithinPartitions("space", "shard", "seq").mapInArrow(K.tidy(run), "seq long, near array<long>")
     return lists.groupBy("seq").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
 
 
@@ -270,7 +363,7 @@ def searched(shards, near, p: Params, partitions: int):
     def run(batches):
         for _, rows in _groups(batches, ("space", "shard")):
             seq = np.array([r["seq"] for r in rows])
-            x, radius = np.stack([np.frombuffer(r["vec"]) for r in rows]), np.array([r["radius"] for r in rows])
+            x, radius = stacked([r["vec"] for r in rows]), np.array([r["radius"] for r in rows])
             place = {s: i for i, s in enumerate(seq.tolist())}
             graph = [np.array([place[s] for s in r["near"] if s in place], np.int64) for r in rows]
             middle = x.mean(0)
@@ -284,73 +377,93 @@ def searched(shards, near, p: Params, partitions: int):
                     out["angle"] += angles(x[hits], x[i][None])[:, 0].tolist() if len(hits) else []
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("angle", pa.float64())]))
 
-    found = member.unionByName(halo).repartition(partitions, "space", "shard").sortWithinPartitions("space", "shard", "seq").mapInArrow(run, PAIR)
+    found = member.unionByName(halo).repartition(partitions, "space", "shard").sortWithinPartitions("space", "shard", "seq").mapInArrow(K.tidy(run), PAIR)
     return found.union(found.select("b", "a", "angle")).groupBy("a", "b").agg(F.min("angle").alias("angle"))
 
 
+def against_members(asking, members, p: Params, partitions: int):
+    """(seq, ball, b, n): how many of the vectors of ball b are linked to each asking(seq, ball, b, mb, vec); mb: members of b.
+
+    Blocks of bounded size hold the vectors of a ball. A block travels once for each pack of vectors that ask its ball, in front of them.
+    """
+    number = lambda count: F.ceil(count / p.chunk)
+    packs = asking.groupBy("b").agg(F.ceil(F.count("*") / p.pack).alias("packs"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("seq"), number(F.col("members")))).join(packs.withColumnRenamed("b", "ball"), "ball")
+    blocks = blocks.groupBy(F.col("ball").alias("b"), "block").agg(F.collect_list("vec").alias("vecs"), F.max("packs").alias("packs")).withColumn("pack", each(F.col("packs"))).drop("packs")
+    rows = asking.join(packs, "b").withColumn("pack", F.pmod(F.xxhash64("seq"), "packs")).withColumn("block", each(number(F.col("mb")))).drop("packs", "mb")
+    both = rows.unionByName(blocks, allowMissingColumns=True).repartition(partitions, "b", "block", "pack").sortWithinPartitions("b", "block", "pack", F.asc_nulls_first("seq"))
+
+    def run(batches):
+        key, block = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("b", "block", "pack"))))
+            vecs = batch.column("vec").to_pylist()
+            n = np.zeros(len(keys), np.int64)
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[a] != key:
+                    key, block = keys[a], None
+                if not batch.column("seq")[a].is_valid:
+                    block = stacked(batch.column("vecs")[a].as_py())
+                    a += 1
+                if block is not None:  # a hash may leave a block empty
+                    for at in range(a, b, 1024):
+                        end = min(b, at + 1024)
+                        n[at:end] = (stacked(vecs[at:end]) @ block.T >= p.cosine).sum(1)
+            some = pa.array(np.flatnonzero(n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in ("seq", "ball", "b")), pa.array(n).take(some)], ["seq", "ball", "b", "n"])
+
+    return both.mapInArrow(K.tidy(run), "seq long, ball long, b long, n long").groupBy("seq", "ball", "b").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors, p: Params = Params()):
     """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding, label)."""
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = prepared(vectors, spark)
-    centroids = chosen_centroids(rows, p)
+    shared = spark.sparkContext.broadcast(chosen_centroids(rows, p))  # a bounded sample
     usable = rows.where("space is not null")
     # Balls: a vector's ball is where its chain of leaders ends; its angle to that leader is measured again.
     leaders, chain = usable.select("space", "seq", "vec", F.lit(0.0).alias("radius")), usable.select("seq", F.col("seq").alias("ball"))
     for r in range(p.rounds):
-        again = K.saved(meet(leaders, centroids, p, r, parts), spark, "balls")
+        again = K.saved(meet(leaders, shared, p, r, parts), spark, "balls")
         chain = chain.join(again.select(F.col("seq").alias("ball"), F.col("ball").alias("to")), "ball").select("seq", F.col("to").alias("ball"))
         heads = again.where("seq = ball").select(F.col("seq").alias("ball"), F.col("vec").alias("lead"))
         measured = chain.join(usable.select("seq", "space", "vec"), "seq").join(heads, "ball")
 
         def gap(batches):
             for batch in batches:
-                v, h = batch.column("vec").to_pylist(), batch.column("lead").to_pylist()
-                far = [float(np.arccos(min(1.0, np.frombuffer(a) @ np.frombuffer(b)))) for a, b in zip(v, h)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seq", "space", "vec", "ball")), pa.array(far, pa.float64())], ["seq", "space", "vec", "ball", "gap"])
+                far = gaps(batch.column("vec").to_pylist(), batch.column("lead").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seq", "space", "vec", "ball")), pa.array(far)], ["seq", "space", "vec", "ball", "gap"])
 
-        members = K.saved(measured.select("seq", "space", "vec", "ball", "lead").mapInArrow(gap, "seq long, space string, vec binary, ball long, gap double"), spark, "members")
+        members = K.saved(measured.select("seq", "space", "vec", "ball", "lead").mapInArrow(K.tidy(gap), "seq long, space string, vec binary, ball long, gap double"), spark, "members")
         chain = members.select("seq", "ball")
         sizes = members.groupBy("ball").agg(F.max("gap").alias("radius"), F.count("*").alias("members"))
         leaders = K.saved(again.where("seq = ball").select("space", "seq", "vec").join(sizes.withColumnRenamed("ball", "seq"), "seq"), spark, "leaders")
-    shards = K.saved(sharded(leaders, centroids, p), spark, "shards")
+    shards = K.saved(divided(K.saved(sharded(leaders, shared, p), spark, "shards"), p, parts), spark, "shards")
     near = K.saved(adjacency(shards, p, parts), spark, "graph")
     pairs = K.saved(searched(shards, near, p, parts), spark, "ball-pairs")
     info = leaders.select("seq", "radius", "members")
     sized = pairs.join(info.select(F.col("seq").alias("a"), F.col("radius").alias("ra")), "a").join(info.select(F.col("seq").alias("b"), F.col("radius").alias("rb"), F.col("members").alias("mb")), "b")
     whole = F.col("angle") + F.col("ra") + F.col("rb") <= p.angle - SLACK
     whole_links = sized.where(whole).groupBy(F.col("a").alias("ball")).agg(F.sum("mb").alias("whole"))
-    # Blocks of bounded size hold the vectors of a ball.
-    block = members.join(info.select(F.col("seq").alias("ball"), "members"), "ball").withColumn("block", F.pmod(F.xxhash64("seq"), F.ceil(F.col("members") / p.chunk)))
-    blocks = block.groupBy("ball", "block").agg(F.collect_list("vec").alias("vecs"))
     open_ = sized.where(~whole).select(F.col("a").alias("ball"), "b", "rb", "mb")
     asked = members.select("seq", "vec", "ball").join(open_, "ball").join(leaders.select(F.col("seq").alias("b"), F.col("vec").alias("lead")), "b")
 
     def decide(batches):
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("seq", "ball", "b", "vec", "lead", "rb", "mb")}
-            out = {"seq": [], "ball": [], "b": [], "vec": [], "sure": []}
-            for seq, ball, b, vec, lead, rb, mb in zip(*cols.values()):
-                far = float(np.arccos(min(1.0, max(-1.0, np.frombuffer(vec) @ np.frombuffer(lead)))))
-                if far - rb <= p.angle + SLACK:
-                    sure = mb if far + rb <= p.angle - SLACK else 0
-                    for k, v in zip(out, (seq, ball, b, None if sure else vec, sure)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("seq", pa.int64()), ("ball", pa.int64()), ("b", pa.int64()), ("vec", pa.binary()), ("sure", pa.int64())]))
-
-    decided = K.saved(asked.mapInArrow(decide, "seq long, ball long, b long, vec binary, sure long"), spark, "decided")
-
-    def compare(batches):
-        for batch in batches:
-            out = {"seq": [], "ball": [], "b": [], "n": []}
-            for seq, ball, b, vec, vecs in zip(*(batch.column(c).to_pylist() for c in ("seq", "ball", "b", "vec", "vecs"))):
-                n = int((np.stack([np.frombuffer(v) for v in vecs]) @ np.frombuffer(vec) >= p.cosine).sum())
-                if n:
-                    for k, v in zip(out, (seq, ball, b, n)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
-
-    opened = K.saved(decided.where("sure = 0").join(blocks.withColumnRenamed("ball", "b"), "b").select("seq", "ball", "b", "vec", "vecs").mapInArrow(compare, "seq long, ball long, b long, n long").union(decided.where("sure > 0").select("seq", "ball", "b", F.col("sure").alias("n"))), spark, "opened")
+            far = gaps(batch.column("vec").to_pylist(), batch.column("lead").to_pylist())
+            rb, mb = batch.column("rb").to_numpy(), batch.column("mb").to_numpy()
+            keep = np.flatnonzero(far - rb <= p.angle + SLACK)
+            sure = np.where(far + rb <= p.angle - SLACK, mb, 0)[keep]
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("seq", "ball", "b", "mb", "vec")), pa.array(sure)], ["seq", "ball", "b", "mb", "vec", "sure"])
+
+    decided = K.saved(asked.select("seq", "ball", "b", "vec", "lead", "rb", "mb").mapInArrow(K.tidy(decide), "seq long, ball long, b long, mb long, vec binary, sure long"), spark, "decided")
+    sized_members = members.join(info.select(F.col("seq").alias("ball"), "members"), "ball")
+    compared = against_members(decided.where("sure = 0").select("seq", "ball", "b", "mb", "vec"), sized_members, p, parts)
+    opened = K.saved(compared.union(decided.where("sure > 0").select("seq", "ball", "b", F.col("sure").alias("n"))), spark, "opened")
     single = opened.groupBy("seq").agg(F.sum("n").alias("single"))
     edges = sized.where(whole).select(F.col("a"), F.col("b")).union(opened.select(F.col("ball").alias("a"), "b"))
     roots = closed(edges, spark).select(F.col("a").alias("ball"), "root")
