@@ -231,3 +231,86 @@ def test_metrics(spark):
     assert set(e.compute()) == {"mae", "nde", "sae", "teca"} and "mae" in e.report()
     scores = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 1), (3, 0.3, 0), (4, 0.2, 0)], "id int, s double, y int")
     assert metrics.unknown_auroc(scores, "s", "y", "id").first()[0] == 1.0
+
+
+def plain_frames(x, a, b):
+    """Mean and variance of each frame [k + a, k + b], edge values standing for what misses."""
+    out = []
+    for k in range(len(x)):
+        own = [x[min(max(j, 0), len(x) - 1)] for j in range(k + a, k + b + 1)]
+        m = sum(own) / len(own)
+        out.append((m, sum((v - m) ** 2 for v in own) / len(own)))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 7, 8, 16, 64])
+@pytest.mark.parametrize("frame", [5, 32, 64])
+def test_blocks_shorter_than_the_frame_change_nothing(spark, block, frame):
+    import random
+
+    from wattspark.operators import timeseries
+
+    x = [random.Random(block).gauss(100, 20) + 50 * (k > 60) for k in range(120)]
+    df = spark.createDataFrame([("c", k, v) for k, v in enumerate(x)], "channel_id string, k long, x double")
+    got = timeseries.frame_stats(df, "channel_id", "x", {"l": (-frame, -1), "r": (1, frame)}, block).orderBy("k").collect()
+    for name, (a, b) in {"l": (-frame, -1), "r": (1, frame)}.items():
+        for row, (m, v) in zip(got, plain_frames(x, a, b), strict=True):
+            assert abs(row[f"{name}_mean"] - m) < 1e-9 and abs(row[f"{name}_var"] - v) < 1e-6
+
+
+def test_folds_equal_plain_loops(spark):
+    import random
+
+    from wattspark.operators import detect, timeseries
+
+    r = random.Random(2)
+    events = {c: sorted(r.sample(range(400), 60)) for c in ("a", "b", None)}
+    df = spark.createDataFrame([(c, k) for c, ks in events.items() for k in ks], "channel_id string, k long").repartition(3)
+    want = set()
+    for c, ks in events.items():
+        last = None
+        for k in ks:
+            if last is None or k - last >= 9:
+                want.add((c, k))
+                last = k
+    assert {tuple(x) for x in timeseries.suppressed(df, "channel_id", 9).collect()} == want
+    runs, at, on = [], 0, False
+    for _ in range(80):
+        n = r.randint(1, 12)
+        runs.append(("a", at, at + n, on))
+        at, on = at + n, not on
+    held, closed = None, []
+    for c, a, b, on in runs:
+        held = on if held is None or b - a >= 5 else held
+        closed.append((c, a, b, held))
+    got = timeseries.close_short_runs(spark.createDataFrame(runs, "channel_id string, start long, stop long, on boolean"), "channel_id", "on", 5)
+    assert sorted(map(tuple, got.collect())) == closed
+    x = [r.gauss(0, 3) + 30 * (150 < k < 200) for k in range(300)]
+    series = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)], "channel_id string, k long, x double")
+    up = down = 0.0
+    fired = []
+    for k, v in enumerate(x):
+        d = v - sum(x[max(j, 0)] for j in range(k - 15, k + 1)) / 16
+        up, down = max(up + d - 1, 0.0), max(down - d - 1, 0.0)
+        if up > 40 or down > 40:
+            fired.append(k)
+            up = down = 0.0
+    assert fired and sorted(row["k"] for row in detect.Cusum(16, 40.0, 1.0).apply(series).collect()) == fired
+
+
+def test_labels_are_case_folded(spark):
+    from wattspark.functions import labels
+
+    words = ["Stra\u00dfe", "\u212aettle", "o\ufb03ce", "fri\u00a0dge (\u0662)", "\u017fink", None]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(labels.normalise("w")).collect()]
+    assert got == ["strasse", "kettle", "office", "fri_dge", "sink", None]
+
+
+def test_splits_check_their_sizes(spark):
+    from wattspark.operators import splits
+
+    for bad in ({"test_size": 0.0}, {"test_size": 1.0}, {"holdout_size": 1.0}, {"holdout_size": -0.1}, {"test_size": 0.6, "holdout_size": 0.4}):
+        with pytest.raises(ValueError):
+            splits.RandomSplit(**bad)
+    with pytest.raises(ValueError, match="no column"):
+        splits.LeaveHouseOut().apply(spark.createDataFrame([("a", "i")], "channel_id string, instance_id string"))

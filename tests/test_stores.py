@@ -155,7 +155,7 @@ def test_fetch_from_files(tmp_path):
         fetch.Artifact("u", "../x")
     with pytest.raises(ValueError):
         fetch.fetch(plan, f"{tmp_path}/cache", max_bytes=1)
-    assert fetch.human_bytes(1500) == "1.5 kB" and fetch.pruned(["h1_c2", "h2_c1"], r"h(?P<house>\d)_", house="2") == ["h2_c1"]
+    assert [fetch.human_bytes(n) for n in (0, 1023, 1536, 3_585_155_959, 2**60)] == ["0 B", "1023 B", "1.5 KiB", "3.3 GiB", "1024.0 PiB"] and fetch.pruned(["h1_c2", "h2_c1"], r"h(?P<house>\d)_", house="2") == ["h2_c1"]
 
 
 def test_inference(spark):

@@ -51,7 +51,7 @@ class ZScore(Detector):
 class Cusum(Detector):
     """Two accumulators of the drift from the causal mean; both restart where one fires (TS-06).
 
-    The fold runs over each channel's sorted array in the JVM; long channels go to `streaming.cusum`, which holds two numbers a channel.
+    Each channel is read from front to back in batches; the state is the two accumulators.
     """
 
     window: int = 64
@@ -60,15 +60,18 @@ class Cusum(Detector):
 
     def apply(self, df, channel="channel_id", value="x", block=None):
         s = T.frame_stats(df, channel, value, {"c": (-(self.window - 1), 0)}, block).withColumn("_d", F.col(value) - F.col("c_mean"))
-        empty = F.array().cast("array<bigint>")
-
-        def step(a, r):
-            up, down = F.greatest(a["up"] + r["_d"] - self.drift, F.lit(0.0)), F.greatest(a["down"] - r["_d"] - self.drift, F.lit(0.0))
-            fire = over(up, self.threshold) | over(down, self.threshold)
-            return F.struct(F.when(fire, 0.0).otherwise(up).alias("up"), F.when(fire, 0.0).otherwise(down).alias("down"), F.when(fire, F.concat(a["out"], F.array(r["k"]))).otherwise(a["out"]).alias("out"))
-
-        folded = T.fold(F.array_sort(F.collect_list(F.struct("k", "_d"))), F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), empty.alias("out")), step, lambda a: a["out"])
-        return s.groupBy(channel).agg(folded.alias("_k")).select(channel, F.explode("_k").alias("k"))
+        drift, limit = self.drift, self.threshold + abs(self.threshold) * 1e-12
+
+        def step(state, k, x):
+            (up, down), kept = state, []
+            for i, d in enumerate(x.tolist()):
+                up, down = max(up + d - drift, 0.0), max(down - d - drift, 0.0)
+                if up > limit or down > limit:
+                    up = down = 0.0
+                    kept.append(i)
+            return kept, (up, down)
+
+        return T.scanned(s, channel, "_d", lambda: (0.0, 0.0), step)
 
 
 class _TwoSided(Detector):

@@ -47,6 +47,14 @@ class SplitProtocol:
     seed: int = 0
     group_by: str = field(default="instance_id", init=False)
 
+    def __post_init__(self):
+        if not 0 < self.test_size < 1:
+            raise ValueError(f"test_size must lie between 0 and 1, not {self.test_size}")
+        if not 0 <= self.holdout_size < 1:
+            raise ValueError(f"holdout_size must be at least 0 and under 1, not {self.holdout_size}")
+        if self.test_size + self.holdout_size >= 1:
+            raise ValueError("test_size and holdout_size leave nothing to train on")
+
     def candidates(self, channels: DataFrame) -> DataFrame:
         return channels
 
@@ -60,12 +68,14 @@ class SplitProtocol:
         return {g: "test" if k < n_test else "val" if k < n_test + n_val else "train" for k, g in enumerate(shuffled)}
 
     def apply(self, channels: DataFrame) -> Split:
+        if self.group_by not in channels.columns:
+            raise ValueError(f"no column {self.group_by!r}; there are {channels.columns}")
         rows = self.candidates(channels).withColumn("_g", F.coalesce(F.col(self.group_by), F.lit(MISSING)))
         groups = sorted(r[0] for r in rows.select("_g").distinct().collect())
         folds = self.folds_of(groups)
         table = channels.sparkSession.createDataFrame(list(folds.items()), "_g string, fold string")
         by = {f: sorted(g for g, x in folds.items() if x == f) for f in ("train", "val", "test")}
-        return Split(rows.join(F.broadcast(table), "_g").select("channel_id", "fold"), {"protocol": type(self).__name__, "group_by": self.group_by, "seed": self.seed, "test_size": self.test_size, "holdout_size": self.holdout_size, "n_groups": len(groups), "groups": by})
+        return Split(rows.join(table, "_g").select("channel_id", "fold"), {"protocol": type(self).__name__, "group_by": self.group_by, "seed": self.seed, "test_size": self.test_size, "holdout_size": self.holdout_size, "n_groups": len(groups), "groups": by})
 
 
 class RandomSplit(SplitProtocol):
@@ -95,6 +105,8 @@ class CrossDataset:
     def apply(self, channels: DataFrame) -> Split:
         if both := sorted(set(self.train_on) & set(self.test_on)):
             raise ValueError(f"trained and tested on: {both}")
+        if not self.train_on or not self.test_on:
+            raise ValueError("train_on and test_on name a dataset each at least")
         have = {r[0] for r in channels.select("dataset").distinct().collect()}
         if missing := sorted({*self.train_on, *self.test_on} - have):
             raise ValueError(f"datasets not in the store: {missing}")

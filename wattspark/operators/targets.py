@@ -67,7 +67,8 @@ def targets(windows: DataFrame, channels: DataFrame, appliances: DataFrame, p_to
     """
     known = appliances.where("is_known").select("appliance", "on_threshold_w")
     keyed = windows.join(channels.select("channel_id", "kind", F.col("appliance").alias("own")), "channel_id")
-    labels = keyed.crossJoin(F.broadcast(known))  # the label space: as small as the vocabulary
+    space = known.groupBy().agg(F.sort_array(F.collect_list(F.struct("appliance", "on_threshold_w"))).alias("_space"))  # one row: the vocabulary
+    labels = keyed.crossJoin(space).withColumn("_s", F.explode("_space")).select(*keyed.columns, "_s.*")
     unknown = appliances.where("not is_known").select("appliance")
     held = keyed.join(unknown.withColumnRenamed("appliance", "own"), "own", "left_semi").where("kind = 'submeter'").select("channel_id", "start", F.lit(True).alias("_held"))
     loud = watts.join(unknown, "appliance", "left_semi").where(F.col("watts") > DEFAULT_ON_WATTS).select("channel_id", "start")

@@ -69,7 +69,7 @@ def with_index(df: DataFrame, channel: str, order: Sequence[str]) -> DataFrame:
 def in_blocks(df: DataFrame, channel: str, before: int, after: int, block: int) -> DataFrame:
     """Rows in blocks of k with what a frame [-before, after] needs from both neighbours; _core marks a block's own rows."""
     at = F.floor(F.col("k") / block)
-    places = F.array_distinct(F.array(F.floor((F.col("k") - after) / block), at, F.floor((F.col("k") + before) / block)))
+    places = F.sequence(F.floor((F.col("k") - after) / block), F.floor((F.col("k") + before) / block))
     return df.withColumn("_block", F.explode(places)).withColumn("_core", F.col("_block") == at)
 
 
@@ -124,31 +124,67 @@ def spans_of(df: DataFrame, channel: str, mask: str) -> DataFrame:
     return islands(df, channel, mask).where(F.col(mask)).select(channel, "start", "stop")
 
 
-def fold(sorted_array: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> Column:
-    return F.aggregate(sorted_array, start, step, finish) if finish else F.aggregate(sorted_array, start, step)
+def scanned(rows: DataFrame, channel: str, value: str | None, start: Callable[[], object], step: Callable) -> DataFrame:
+    """(channel, k) of the rows that step keeps, each channel from front to back in Arrow batches; a task holds a batch and one state.
+
+    step(state, k, x) gives (positions kept, state) for the next stretch of a channel; x is None without a value column.
+    """
+    names = [channel, "k"] + [value] * (value is not None)
+    kinds = dict(rows.select(channel).dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, k = batch.column(0), batch.column(1).to_numpy()
+            x = batch.column(2).to_numpy(zero_copy_only=False) if value is not None else None
+            code = pc.fill_null(name.dictionary_encode().indices, -1).to_numpy()
+            cuts = [0, *((code[1:] != code[:-1]).nonzero()[0] + 1).tolist(), len(code)]
+            kept = []
+            for a, b in zip(cuts, cuts[1:]):
+                here = (name[a].as_py(),)
+                if here != last:
+                    last, state = here, start()
+                found, state = step(state, k[a:b], None if x is None else x[a:b])
+                kept += [a + i for i in found]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], [channel, "k"])
+
+    dealt = rows.select(*names).withColumn("k", F.col("k").cast("long")).repartition(channel).sortWithinPartitions(channel, "k")
+    return dealt.mapInArrow(run, f"`{channel}` {kinds[channel]}, k long")
 
 
 def suppressed(events: DataFrame, channel: str, min_gap: int) -> DataFrame:
     """Greedy: an event stays if it lies at least min_gap after the last that stayed (TS-11). events(channel, k), true events alone."""
     if min_gap <= 1:
         return events.select(channel, "k")
-    ordered = F.array_sort(F.collect_list("k"))
-    empty = F.array().cast("array<bigint>")
-    kept = fold(ordered, F.struct(F.lit(None).cast("long").alias("last"), empty.alias("out")), lambda a, k: F.when(a["last"].isNull() | (k - a["last"] >= min_gap), F.struct(k.alias("last"), F.concat(a["out"], F.array(k)).alias("out"))).otherwise(a), lambda a: a["out"])
-    return events.groupBy(channel).agg(kept.alias("_k")).select(channel, F.explode("_k").alias("k"))
 
+    def step(last, k, _):
+        import numpy as np
 
-def close_short_runs(runs_df: DataFrame, channel: str, mask: str, min_length: int) -> DataFrame:
-    """Left to right, a run shorter than min_length takes the value that the run before it has by then; the first never changes (TS-14)."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "stop", F.col(mask).alias("on"))))
-    kind = "array<struct<start:bigint,stop:bigint,on:boolean>>"
+        at, kept = 0 if last is None else int(np.searchsorted(k, last + min_gap)), []
+        while at < len(k):
+            kept.append(at)
+            last = int(k[at])
+            at = int(np.searchsorted(k, last + min_gap))
+        return kept, last
+
+    return scanned(events, channel, None, lambda: None, step)
 
-    def step(a, r):
-        value = F.when(a["some"] & (r["stop"] - r["start"] < min_length), a["on"]).otherwise(r["on"])
-        return F.struct(F.lit(True).alias("some"), value.alias("on"), F.concat(a["out"], F.array(F.struct(r["start"].alias("start"), r["stop"].alias("stop"), value.alias("on")))).alias("out"))
 
-    closed = fold(ordered, F.struct(F.lit(False).alias("some"), F.lit(False).alias("on"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    return runs_df.groupBy(channel).agg(closed.alias("_r")).select(channel, F.explode("_r").alias("_r")).select(channel, F.col("_r.start").alias("start"), F.col("_r.stop").alias("stop"), F.col("_r.on").alias(mask))
+def close_short_runs(runs_df: DataFrame, channel: str, mask: str, min_length: int) -> DataFrame:
+    """Left to right, a run shorter than min_length takes the value that the run before it has by then; the first never changes (TS-14).
+
+    So each run has the value of the last run up to it that is long enough or first.
+    """
+    w = Window.partitionBy(channel).orderBy("start")
+    holds = (F.col("stop") - F.col("start") >= min_length) | (F.row_number().over(w) == 1)
+    held = runs_df.withColumn("_held", F.when(holds, F.struct(F.col(mask).alias("on"))))
+    value = F.last("_held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["on"]
+    return held.select(channel, "start", "stop", value.alias(mask))
 
 
 def segments(events: DataFrame, lengths: DataFrame, channel: str, min_length: int = 1) -> DataFrame:

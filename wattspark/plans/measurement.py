@@ -59,6 +59,15 @@ class Measurement:
     def n_samples(self) -> int:
         return self._one(F.size(F.element_at(self._components(), 1)))
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.n_components, self.n_samples
+
+    @property
+    def n_cycles(self) -> int:
+        """Whole cycles; needs an aligned measurement."""
+        return self.n_samples // self._one(F.col("cycle_size"))
+
     @property
     def duration(self) -> float:
         return self.n_samples / self.fs
@@ -96,15 +105,19 @@ class Measurement:
         return self.window(int(start * self.fs), int(duration * self.fs))
 
     def aligned(self, cycle_size: int = 64, n_cycles: int | None = None) -> Measurement:
-        got = self.df.select(align.cycle_align_udf(self.fs, cycle_size, n_cycles, self.f0)("v", self._sum()).alias("a"))
-        return replace(self, df=got.select(F.flatten("a.v").alias("v"), F.array(F.flatten("a.i")).alias("i"), F.lit(cycle_size).alias("cycle_size")), is_aligned=True)
+        """Whole cycles of equal length, component by component."""
+        one = self.df.select("v", F.posexplode("i").alias("c", "x")).select("c", align.cycle_align_udf(self.fs, cycle_size, n_cycles, self.f0)("v", "x").alias("a"))
+        all_ = one.groupBy().agg(F.array_sort(F.collect_list(F.struct("c", "a"))).alias("s"))
+        return replace(self, df=all_.select(F.flatten(F.element_at("s", 1)["a"]["v"]).alias("v"), F.transform("s", lambda x: F.flatten(x["a"]["i"])).alias("i"), F.lit(cycle_size).alias("cycle_size")), is_aligned=True)
 
     def lowpass(self, n: int) -> Measurement:
         if self.is_aligned:
             size = self._one(F.col("cycle_size"))
             cycles = lambda x: F.flatten(F.transform(arrays.patchify(x, size), lambda c: arrays.harmonic_lowpass(c, n)))
             return replace(self, df=self.df.withColumns({"v": cycles(F.col("v")), "i": F.transform("i", cycles)}))
-        return replace(self, df=self.df.withColumns({"v": arrays.lowpass_udf(n)("v"), "i": F.array(arrays.lowpass_udf(n)(self._sum()))}))
+        low = arrays.lowpass_udf(n)
+        parts = self.df.select("v", F.posexplode("i").alias("c", "x")).select(low("v").alias("v"), "c", low("x").alias("x"))
+        return replace(self, df=parts.groupBy().agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("c", "x"))).alias("s")).select("v", F.transform("s", lambda x: x["x"]).alias("i")))
 
     def resample(self, size: int) -> Measurement:
         cols = {c: arrays.resample_linear(F.col(c), size) if c == "v" else F.transform(c, lambda x: arrays.resample_linear(x, size)) for c in self.df.columns if c in "vip"}

@@ -129,12 +129,32 @@ class Store:
 
     def read_window(self, channel_id: str, quantity: str, start: int, length: int) -> list[float]:
         """A copy; zeros past the end."""
-        near = self.signals.where((F.col("quantity") == quantity) & (F.col("channel_id") == channel_id) & (F.col("start") < start + length) & (F.col("start") + F.size("values") > start))
+        near = self.signals.where((F.col("quantity") == quantity) & (F.col("channel_id") == channel_id) & (F.col("start") < start + length) & (F.col("start") > start - S.CHUNK))
         out = [0.0] * length
         for r in unchunked(near).where((F.col("k") >= start) & (F.col("k") < start + length)).select("k", "x").collect():
             out[r["k"] - start] = r["x"]
         return out
 
+    def measurement(self, channel_id: str, start: int = 0, seconds: float | None = None, samples: int | None = None):
+        """A Measurement over a window of a channel; the whole of it without a length (PF-11)."""
+        from .measurement import Measurement
+
+        row = self.channel(channel_id)
+        fs, length = row["fs"], row["n_samples"] - start
+        if seconds is not None:
+            length = min(length, int(seconds * fs))
+        if samples is not None:
+            length = min(length, samples)
+        if length <= 0:
+            raise ValueError(f"an empty window: {start} is past the end of {channel_id!r}")
+        read = lambda q: self.read_window(channel_id, q, start, length)
+        t0 = (row["t0"] or 0.0) + start / fs
+        if {"v", "i"} <= set(row["quantities"]):
+            return Measurement.from_vi(self.spark, read("v"), read("i"), fs, t0=t0, f0=row["f0"])
+        if "p" in row["quantities"]:
+            return Measurement.from_power(self.spark, read("p"), fs, t0=t0)
+        raise KeyError(f"{channel_id!r} has {row['quantities']}, which is no measurement")
+
     def distinct(self, column: str) -> list[str]:
         return [r[0] for r in self.channels.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 

@@ -17,11 +17,9 @@ from pathlib import Path
 
 
 def human_bytes(n: float) -> str:
-    for unit in ("B", "kB", "MB", "GB", "TB"):
-        if abs(n) < 1000 or unit == "TB":
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n /= 1000
-    raise AssertionError
+    """Binary units: 1536 is 1.5 KiB."""
+    order = min(max(int(abs(n)).bit_length() - 1, 0) // 10, 5)
+    return f"{n:.0f} B" if not order else f"{n / 1024**order:.1f} {'KMGTP'[order - 1]}iB"
 
 
 @dataclass(frozen=True)

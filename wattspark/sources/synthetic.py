@@ -47,5 +47,5 @@ def example(spark: SparkSession) -> Recordings:
     for p in parts[1:]:
         samples = samples.unionByName(p)
     ids = channels.select("house", F.coalesce("appliance", F.lit("")).alias("_a"), "channel_id")
-    samples = samples.withColumn("_a", F.coalesce("appliance", F.lit(""))).join(F.broadcast(ids), ["house", "_a"]).select("channel_id", "quantity", "k", "x")
+    samples = samples.withColumn("_a", F.coalesce("appliance", F.lit(""))).join(ids, ["house", "_a"]).select("channel_id", "quantity", "k", "x")
     return Recordings(channels, samples)

@@ -137,7 +137,7 @@ def refit(spark: SparkSession, path: str, appliances: str, houses: list[int] | N
     values = [c for c in wide.columns if c == "Aggregate" or c.startswith("Appliance")]
     long = wide.select("house", F.col("Unix").cast("double").alias("t"), *(F.col(c).cast("double") for c in values)).unpivot(["house", "t"], values, "column", "w")
     names = spark.read.schema("house int, column string, name string").csv(appliances, header=True)
-    named = long.join(F.broadcast(names), ["house", "column"], "left").withColumn("name", F.when(F.col("column") == "Aggregate", "mains").otherwise(refit_label(F.coalesce("name", "column"))))
+    named = long.join(names, ["house", "column"], "left").withColumn("name", F.when(F.col("column") == "Aggregate", "mains").otherwise(refit_label(F.coalesce("name", "column"))))
     return meter_runs(named.where("w is not null").withColumn("house", F.concat(F.lit("house_"), "house")), ["house", "name", "column"], rate_hz, max_gap_s, "refit")
 
 

@@ -5,6 +5,10 @@ Late rows: those older than the watermark are dropped; within it, order does not
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +32,45 @@ def cusum(stream: DataFrame, channel: str, order: str, value: str, window: int =
     """CUSUM with constant state a channel: the window's values, both accumulators, the count; rows (channel, k)."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
 
+    limit = threshold * (1 + 1e-12)
+
     def step(key, batches, state: GroupState):
         recent, up, down, k = state.get if state.exists else ([], 0.0, 0.0, 0)
-        recent = list(recent)
+        x = pd.concat(list(batches)).sort_values(order)[value].to_numpy(float)
+        # The window's values go before the new ones; before the first value of all, that value holds.
+        series = np.concatenate([recent if len(recent) else np.full(window, x[0]), x])
+        sums = np.cumsum(np.concatenate([[0.0], series - series[0]]))
+        away = x - ((sums[window + 1 :] - sums[1:-window]) / window + series[0])
         out = []
-        for pdf in [pd.concat(list(batches))]:
-            for x in pdf.sort_values(order)[value].astype(float):
-                recent = ([x] * window if not recent else recent + [x])[-window:]
-                d = x - sum(recent) / window
-                up, down = max(up + d - drift, 0.0), max(down - d - drift, 0.0)
-                if up > threshold * (1 + 1e-12) or down > threshold * (1 + 1e-12):
-                    out.append(k)
-                    up = down = 0.0
-                k += 1
-        state.update((recent, up, down, k))
+        for at, d in enumerate(away.tolist(), k):
+            up, down = max(up + d - drift, 0.0), max(down - d - drift, 0.0)
+            if up > limit or down > limit:
+                out.append(at)
+                up = down = 0.0
+        state.update((series[-window:].tolist(), up, down, k + len(x)))
         yield pd.DataFrame({channel: [key[0]] * len(out), "k": pd.Series(out, dtype="int64")})
 
     return stream.select(channel, order, value).groupBy(channel).applyInPandasWithState(step, f"{channel} {kinds[channel]}, k long", "recent array<double>, up double, down double, k long", "append", GroupStateTimeout.NoTimeout)
 
 
-def to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs all that is there now into a memory table and gives it back."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+def scratch(spark, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, else in the warehouse; a temporary one on one machine without either."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="wattspark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def to_table(stream: DataFrame, name: str, mode: str, path: str | None = None) -> DataFrame:
+    """Runs all that is there now and gives back what it wrote to Parquet under path: appended rows, or the whole of the last batch's result if complete."""
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession, name)
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/rows")
+    else:
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows"))
     writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str):
