@@ -239,7 +239,7 @@ def fitted(spark, rows: int = 2800, trees: int = 16, depth: int = 3, rate: float
         own = held & (kinds == kind)
         for cut in np.unique(score[own]):
             said = own & (score >= cut)
-            if y[said].sum() / (said.sum() + 1) >= precision - 1 / (said.sum() + 1):
+            if y[said].sum() / (said.sum() + 1) >= precision:
                 thresholds[kind] = max(float(cut), 0.0)
                 break
     shrink = lambda t: t if not isinstance(t, tuple) else (t[0], t[1], shrink(t[2]), shrink(t[3]))
