@@ -193,6 +193,24 @@ def test_cheap_and_selective_rules_come_first(spark):
     assert quality.ordered([never, always], df)[0].name == "always"
 
 
+def test_verdicts_of_odd_tables(spark, tmp_path):
+    kind = "doc_id long, text string, n_words string, kept string, rejected_by int, _base int"
+    rows = [(1, " ".join(f"word{k}" for k in range(60)), "a", "b", 1, 2), (1, " ".join(f"word{k}" for k in range(60)), "a", "b", 1, 2), (None, None, None, None, None, None), (2, "# " * 90, "a", "b", 1, 2)]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality.op8_quality_cascade(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, False), (1, 60, True), (1, 60, True), (2, 90, False)]
+    assert quality.quality_verdicts(frame(spark, [])).count() == 0
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert quality.op8_quality_cascade(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_the_order_repeats(spark):
+    df = quality.with_base(frame(spark, [" ".join(f"w{k * j}" for k in range(300)) for j in range(40)]))
+    slow = quality.Rule("slow", F.size(F.filter(F.sequence(F.lit(1), F.length("text") * 20), lambda x: x % 7 == 0)) > 10**9)
+    rules = [slow, *quality.column_rules()]
+    assert [quality.ordered(rules, df)[-1].name for _ in range(2)] == ["slow", "slow"]
+
+
 # ---- rollups
 def test_rollups_follow_changes_and_repeats_change_nothing(spark, tmp_path):
     r = rollups.Rollup(spark, f"file://{tmp_path}/r")
@@ -210,3 +228,25 @@ def test_rollups_follow_changes_and_repeats_change_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         r.commit("c", change(("upsert", "s", "en", "t", 1)))
     assert r.batches() == ["a", "b"]
+
+
+def test_rollup_query_against_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from wattspark.llm import tokens
+
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (2, "c, d", None, "s"), (None, "c, d", "en", "s"), (None, "Only once", "de", "t"), (3, None, "en", "s"), (4, "", "fr", "t"), (5, "a b", "fr", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.selectExpr("*", "'x' AS digest", "1 AS n", "2 AS times").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollups.op9_token_rollups(spark, str(tmp_path)).collect()}
+    kept, want = {}, Counter()
+    for doc, text, lang, source in rows:
+        place = tuple((x is None, x or "") for x in (doc, source, lang))
+        kept[text or ""] = min(kept.get(text or "", (place, source, lang)), (place, source, lang))
+    for name, version, end in (("byte_bpe_50k", 1, 0), ("word_bpe_49k", 2, 1)):
+        library = Tokenizer.from_file(tokens.tokenizer_path(f"{name}.json"))
+        for text, (_, source, lang) in kept.items():
+            want[source, lang, f"{name}@{version}", 0] += 1
+            want[source, lang, f"{name}@{version}", 1] += len(library.encode(text, add_special_tokens=False).ids) + end
+    assert got == {k[:3]: (want[*k[:3], 0], want[*k[:3], 1]) for k in want}
+    assert rollups.repeated(spark.createDataFrame([], "digest string, source string, lang string, doc_id long, c long"), ["c"]).count() == 0

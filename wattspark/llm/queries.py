@@ -26,5 +26,4 @@ def oracle_sql() -> dict[str, str]:
         "op1_quote_threads": quotes.ORACLE,
         "op3_warc_normaliser": warc.ORACLE,
         "op8_quality_cascade": quality.ORACLE,
-        "op9_token_rollups": rollups.ORACLE,
     }

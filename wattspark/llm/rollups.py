@@ -12,28 +12,32 @@ stay, with zeros, until compaction leaves them out. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from . import tokens as TK
 
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """Signed rows of changes(op, source, lang, tokenizer, n_tokens[, old_source, old_lang, old_tokenizer, old_tokens]).
+    """Signed rows of changes(op, source, lang, tokenizer, n_tokens[, old_source, old_lang, old_tokenizer, old_tokens][, times]).
 
     op is insert, delete, or revise; a revision takes the old count out of the old group and puts the new one in. Another op raises.
+    times: how many equal changes a row stands for, one without it or where it is null.
     """
-    new = F.struct(*(F.col(k).alias(k) for k in KEYS), F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    gone = F.struct(*(F.col(k).alias(k) for k in KEYS), F.lit(-1).cast("long").alias("n_docs"), (-F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
-    rows = F.when(F.col("op") == "insert", F.array(new)).when(F.col("op") == "delete", F.array(gone))
+    times = (F.coalesce("times", F.lit(1)) if "times" in changes.columns else F.lit(1)).cast("long")
+    signed = lambda sign, count, prefix="": F.struct(*(F.col(prefix + k).alias(k) for k in KEYS), (sign * times).alias("n_docs"), (sign * times * F.coalesce(count, F.lit(0)).cast("long")).alias("n_tokens"))
+    rows = F.when(F.col("op") == "insert", F.array(signed(1, "n_tokens"))).when(F.col("op") == "delete", F.array(signed(-1, "n_tokens")))
     if "old_tokens" in changes.columns:
-        old = F.struct(*(F.col(f"old_{k}").alias(k) for k in KEYS), F.lit(-1).cast("long").alias("n_docs"), (-F.coalesce("old_tokens", F.lit(0))).cast("long").alias("n_tokens"))
-        rows = rows.when(F.col("op") == "revise", F.array(old, new))
+        rows = rows.when(F.col("op") == "revise", F.array(signed(-1, "old_tokens", "old_"), signed(1, "n_tokens")))
     unknown = F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null")))).cast("array<struct<source:string,lang:string,tokenizer:string,n_docs:bigint,n_tokens:bigint>>")
     return changes.select(F.explode(rows.otherwise(unknown)).alias("d")).select("d.*")
 
@@ -97,34 +101,52 @@ class Rollup:
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs' keys with the counts of two tokenizers that column functions express: bytes, and ASCII-space words."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", "lang", F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("bytes"), F.regexp_count(t, F.lit(r"[^ \x09-\x0D]+")).cast("long").alias("words"))
+def counted(docs: DataFrame, tokenizers: dict[str, tuple[str, bool, bool]]) -> DataFrame:
+    """doc_id, source, lang, the SHA-256 of the text, and its ids under each tokenizer: name to (file, keep_space, lower) of tokens.encoder()."""
+
+    def run(batches):
+        encoders = {name: TK.encoder(*how) for name, how in tokenizers.items()}
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                column = part.column("text")
+                texts = column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+                n = {name: pa.array(np.diff(e.encode(column)[1])) for name, e in encoders.items()}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "source": part.column("source"), "lang": part.column("lang"), "digest": [hashlib.sha256(t).hexdigest() for t in texts], **n})
+
+    schema = "doc_id long, source string, lang string, digest string, " + ", ".join(f"`{name}` long" for name in tokenizers)
+    return docs.select("doc_id", "source", "lang", "text").mapInArrow(K.tidy(run), schema)
+
+
+def repeated(docs: DataFrame, counts: list[str]) -> DataFrame:
+    """Documents that have a text which another has: (source, lang, counts, times), times documents alike a row.
+
+    Of each text, the document with the smallest (doc_id, source, lang) is not among them; nulls come last, and of equal ones one stays.
+    Equal texts of one source and language are counted before the join, so that a text of any number of copies has a few rows in it.
+    """
+    groups = docs.groupBy("digest", "source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in counts))
+    place = F.struct(*(x for c in ("doc_id", "source", "lang") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
+    first = groups.groupBy("digest").agg(F.min(place).alias("first"))
+    left = groups.join(first, "digest").withColumn("times", F.col("n") - place.eqNullSafe(F.col("first")).cast("long"))
+    return left.where("times > 0").select("source", "lang", *counts, "times")
+
+
+#: Registered tokenizers: name to file, whether white space is part of its chunks, and whether it lower-cases.
+TOKENIZERS = {"byte_bpe_50k": ("byte_bpe_50k.json", True, False), "word_bpe_49k": ("word_bpe_49k.json", False, True)}
 
 
 def op9_token_rollups(spark, sf_dir):
     """Totals of all documents after three batches: inserts under two tokenizers; a new version of the word tokenizer, which adds an end
-    token, as revisions; deletes of texts that an earlier document has too. Later batches come twice, as after a lost job."""
-    docs = K.saved(counted(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark, "token-counts")
+    id, as revisions; deletes of documents whose text another one has (see repeated()). Later batches come twice, as after a lost job."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = K.saved(counted(docs, {name: (TK.tokenizer_path(file), *how) for name, (file, *how) in TOKENIZERS.items()}), spark, "token-counts")
     rollup = Rollup(spark, K.shared_dir(spark, "token-rollup"))
-    both = F.array(F.struct(F.lit("bytes@1").alias("tokenizer"), F.col("bytes").alias("n_tokens")), F.struct(F.lit("words@1").alias("tokenizer"), F.col("words").alias("n_tokens")))
-    rollup.commit("1", docs.select(F.lit("insert").alias("op"), "source", "lang", F.explode(both).alias("c")).select("op", "source", "lang", "c.*"))
-    revised = docs.select(F.lit("revise").alias("op"), "source", "lang", F.lit("words@2").alias("tokenizer"), (F.col("words") + 1).alias("n_tokens"), F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words@1").alias("old_tokenizer"), F.col("words").alias("old_tokens"))
-    first = docs.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang")).alias("first"))
-    now = F.array(F.struct(F.lit("bytes@1").alias("tokenizer"), F.col("bytes").alias("n_tokens")), F.struct(F.lit("words@2").alias("tokenizer"), (F.col("words") + 1).alias("n_tokens")))
-    repeated = docs.join(first, "digest").where(F.col("doc_id") != F.col("first.doc_id")).select(F.lit("delete").alias("op"), "source", "lang", F.explode(now).alias("c")).select("op", "source", "lang", "c.*")
+    byte, word = TOKENIZERS
+    under = lambda *rows: F.explode(F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in rows))).alias("c")
+    rollup.commit("1", docs.select(F.lit("insert").alias("op"), "source", "lang", under((f"{byte}@1", F.col(byte)), (f"{word}@1", F.col(word)))).select("op", "source", "lang", "c.*"))
+    revised = docs.select(F.lit("revise").alias("op"), "source", "lang", F.lit(f"{word}@2").alias("tokenizer"), (F.col(word) + 1).alias("n_tokens"), F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(f"{word}@1").alias("old_tokenizer"), F.col(word).alias("old_tokens"))
+    gone = repeated(docs, [byte, word]).select(F.lit("delete").alias("op"), "source", "lang", "times", under((f"{byte}@1", F.col(byte)), (f"{word}@2", F.col(word) + 1))).select("op", "source", "lang", "times", "c.*")
     for _ in range(2):
         rollup.commit("2", revised)
-        rollup.commit("3", repeated)
+        rollup.commit("3", gone)
     rollup.compact()
     return rollup.totals()
-
-
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
-k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS r, strlen(t) AS b, len(regexp_extract_all(t, '[^ \x09-\x0D]+')) + 1 AS w FROM d)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM (
- SELECT source, lang, 'bytes@1' AS tokenizer, b AS n FROM k WHERE r = 1 UNION ALL SELECT source, lang, 'words@2', w FROM k WHERE r = 1)
-GROUP BY source, lang, tokenizer
-"""
