@@ -1,12 +1,13 @@
 import gzip
 import io
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
-from wattspark.llm import neardup, packing, queries, quotes, warc
+from wattspark.llm import neardup, packing, queries, quotes, textkit, warc
 
 
 # ---- archives
@@ -19,15 +20,34 @@ def test_archives_read_back_and_link_copies(spark, tmp_path):
 
 
 def test_members_and_index_agree():
-    records = [warc.record("response", i, "u", b"z" * i, warc.digest(b"z" * i), i) for i in (0, 5, 70_000)]
+    records = [warc.record("response", warc.record_id(f"f#{i}"), i, "u", "2020-01-01T00:00:00Z", b"z" * i, warc.digest(b"z" * i)) for i in (0, 5, 70_000)]
     whole = gzip.compress(b"".join(records))
-    assert [len(b) for _, b in warc.records(warc._Inflated(io.BytesIO(whole)))] == [0, 5, 70_000]
+    assert [len(warc.payload_of(b)[1]) for _, b in warc.records(warc._Inflated(io.BytesIO(whole)))] == [0, 5, 70_000]
     many = b"".join(gzip.compress(x) for x in records)
-    assert [len(b) for _, b in warc.records(warc._Inflated(io.BytesIO(many)))] == [0, 5, 70_000]
+    assert [len(warc.payload_of(b)[1]) for _, b in warc.records(warc._Inflated(io.BytesIO(many)))] == [0, 5, 70_000]
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(records[1][:-10])))
 
 
+def test_records_are_whole_and_name_each_other(spark):
+    rows = [(2, "u", "x"), (2, "u", "x"), (1, "v", "x"), (None, None, None), (5, "w", "\r\n\r\nWARC/1.1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'f' AS file", "1 AS seq", "'d' AS payload_digest").repartition(2)
+    folder = textkit.shared_dir(spark, "warc-test")
+    index = warc.normalise(warc.with_decisions(warc.write_monolithic(pages, spark, f"{folder}/crawl")), spark, f"{folder}/archive")
+    heads = []
+    for (archive,) in index.select("archive").distinct().collect():
+        fs, at = textkit.filesystem(archive)
+        with fs.open_input_file(at) as f:
+            found = [h for h, _ in warc.records(warc._Inflated(f))]
+        assert found[0]["warc-type"] == "warcinfo"
+        heads += found
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(heads) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) for h in heads)
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and all(ids[h["warc-refers-to"]]["x-page-id"] == "1" and ids[h["warc-refers-to"]]["warc-type"] == "response" for h in revisits)
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in warc.read_archives(index).collect()) == [(0, "response"), (1, "response"), (2, "revisit"), (2, "revisit"), (5, "response")]
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op3_warc_normaliser(spark, str(tmp_path)).count() == 0
