@@ -1,3 +1,4 @@
+import numpy as np
 import json
 import math
 import os
@@ -173,3 +174,60 @@ def test_newer_format_is_refused(spark, tmp_path, example):
     Store(spark, f"{tmp_path}/s").write_manifest({"format_version": 99})
     with pytest.raises(ValueError, match="newer"):
         Store(spark, f"{tmp_path}/s")
+
+
+def test_binary_readers_write_stores(spark, tmp_path):
+    from wattspark.sources import binary
+
+    wave = np.sin(np.arange(2000) * 2 * np.pi * 50 / 1000)
+
+    def flac(raw):
+        return 1000.0, np.stack([wave, wave / 2], 1)
+
+    def hdf5(raw):
+        return 1000.0, {"voltage": wave + 1, "current1": wave * 2 + 5, "current2": wave}
+
+    def clear(raw):
+        return 1000.0, {"voltage1": wave, "current1": wave, "voltage2": wave, "current2": wave}
+
+    def mkv(raw):
+        return 10.0, {"p": np.full(50, 7.0)}
+
+    def table(raw):
+        return np.concatenate([np.arange(20) * 5.0, 5000 + np.arange(10) * 5.0]), {"Active Power L1": np.full(30, 3.0), "Active Power L2": np.full(30, 4.0)}
+
+    names = ["w/Kettle_Acme_r1_MK1_20200101.flac", "w/Fan_Acme_r1_MK9_20200101.flac", "u/house_2/vi-1700000000_250000.flac", "b/2016-10-01/medal-1/medal-1-2016-10-01T00-00-10.123456T+0200-0000001.hdf5", "c/clear-2016-10-01T00-00-10.123456T+0200-0000001.hdf5", "f/powermeter08/powermeter08_2020_06_14__00_10_00.mkv", "f/powermeter09/powermeter09_2020_06_14__00_10_00.mkv", "s/building_01/freezer.hdf5"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    log = spark.createDataFrame([("MEDAL-1", 1, 0.0, "Desk Lamp", "L1")], "unit string, socket int, t double, class_name string, appliance_name string")
+    got = {
+        "w": binary.whited(spark, f"{tmp_path}/w", read=flac),
+        "u": binary.ukdale_waveforms(spark, f"{tmp_path}/u", runs=spark.createDataFrame([("house_2", 1.69e9, 1.71e9, "run_3")], "house string, start double, stop double, session string"), read=flac),
+        "b": binary.blond(spark, f"{tmp_path}/b", log, read=hdf5),
+        "c": binary.blond(spark, f"{tmp_path}/c", phases=[2], read=clear),
+        "f": binary.fired(spark, f"{tmp_path}/f", {"powermeter08": "kettle"}, read=mkv),
+        "s": binary.smartnialm(spark, f"{tmp_path}/s", read=table),
+    }
+    stores = {k: x.write(f"{tmp_path}/store/{k}") for k, x in got.items()}
+    rows = {k: [(r["house"], r["session"], r["kind"], r["appliance"], r["n_samples"], r["quantities"]) for r in x.channels.orderBy("channel_id").collect()] for k, x in stores.items()}
+    assert rows["w"] == [("r1", "20200101", "submeter", "kettle", 2000, ["i", "v"])]
+    assert rows["u"] == [("house_2", "run_3", "mains", None, 2000, ["i", "v"])]
+    assert rows["b"] == [("blond", "2016-10-01", "submeter", "desk_lamp", 2000, ["i", "v"])]
+    assert rows["c"] == [("blond", "2016-10-01", "mains", None, 2000, ["i", "v"])]
+    assert rows["f"] == [("house_1", "2020-06-14", "submeter", "kettle", 50, ["p"])]
+    assert [x[2:4] + x[5:] for x in rows["s"]] == [("submeter", "freezer", ["p"])] * 2
+    assert all(x.verify(deep=True).isEmpty() for x in stores.values())
+    one = stores["w"].channels.first()["channel_id"]
+    m = stores["w"].measurement(one, start=100, samples=200)
+    assert m.n_samples == 200 and abs(m.vrms() - 1033.64 / 2**0.5) < 2 and abs(m.t0 - 0.1) < 1e-12
+    assert stores["w"].measurement(one, start=1990, seconds=1).n_samples == 10 and stores["f"].measurement(stores["f"].channels.first()["channel_id"]).kind == "power"
+    with pytest.raises(ValueError):
+        stores["w"].measurement(one, start=2000)
+    assert got["w"].limited(0).channels.count() == 0
+
+
+def test_frame_names():
+    from wattspark.sources import binary
+
+    assert binary.frame_names(b"(lp0\nVActive Power\np1\naVPower Factor\np2\na.") == ["Active Power", "Power Factor"] == binary.frame_names(["Active Power", b"Power Factor"])

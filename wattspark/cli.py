@@ -28,8 +28,7 @@ def convert(a) -> int:
         return 2
     recordings = READERS[a.dataset](session(), a.source, **json.loads(a.options))
     if a.limit is not None:
-        recordings.channels = recordings.channels.orderBy("channel_id").limit(a.limit)
-        recordings.samples = recordings.samples.join(recordings.channels.select("channel_id"), "channel_id", "left_semi")
+        recordings = recordings.limited(a.limit)
     store = recordings.write(a.store, overwrite=a.overwrite)
     return _verified(store) if a.verify else 0
 

@@ -602,9 +602,20 @@ def voltage_normalise(spark, sf):
     return c.select("vec_id", r(E.array_rms("v")).alias("vrms"), r(E.array_active_power("v", "i"), 7).alias("p"))
 
 
-@query()
+@query(
+    f"""WITH {EV}, c AS (SELECT channel_id, k, x - avg(x) OVER (PARTITION BY channel_id) AS v FROM ev),
+n AS (SELECT *, lead(v) OVER (PARTITION BY channel_id ORDER BY k) AS nv FROM c),
+z AS (SELECT channel_id, k + least(greatest(v / (v - nv), 0), 1) AS a FROM n WHERE v < 0 AND nv >= 0),
+e AS (SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY channel_id ORDER BY a) AS b FROM z) WHERE b IS NOT NULL),
+m AS (SELECT channel_id, quantile_disc(b - a, 0.5) AS expected FROM e GROUP BY channel_id),
+y AS (SELECT e.*, row_number() OVER (PARTITION BY e.channel_id ORDER BY a) AS j FROM e JOIN m ON m.channel_id = e.channel_id WHERE abs(b - a - expected) <= 0.5 * expected AND b - a > 1),
+q AS (SELECT channel_id, a + (b - a) * unnest(range(16)) / 16 AS p FROM y WHERE j <= 4),
+g AS (SELECT q.channel_id, max(abs(v + coalesce(nv - v, 0) * (p - floor(p)))) AS peak FROM q JOIN n ON n.channel_id = q.channel_id AND n.k = floor(p)::BIGINT GROUP BY q.channel_id),
+w AS (SELECT channel_id, count(*) AS n_valid FROM y WHERE j <= 4 GROUP BY channel_id)
+SELECT u.channel_id, coalesce(n_valid, 0)::INT AS n_valid, round(coalesce(peak, 0.0), 5) AS peak FROM (SELECT DISTINCT channel_id FROM ev) u LEFT JOIN w ON w.channel_id = u.channel_id LEFT JOIN g ON g.channel_id = u.channel_id"""
+)
 def aligned_cycles(spark, sf):
-    """Each user's values less their mean, as one signal; cycles by crossings at 16 points. Beyond SQL: tests hold it against an analytic sine."""
+    """Each user's values less their mean, as one signal; cycles by crossings at 16 points."""
     s = series(spark, sf).groupBy("channel_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("x"))
     c = s.withColumn("v", E.let(E.mean(F.col("x")), lambda m: F.transform("x", lambda x: x - m)))
     got = c.select("channel_id", align.cycle_align_udf(1.0, 16, 4, None, 0.5)("v", "v").alias("a"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from . import binary, synthetic, text
 
-READERS = {"plaid": text.plaid, "ukdale": text.ukdale, "refit": text.refit, "uci": text.uci, "hifda": text.hifda, "whited": binary.whited, "blond": binary.blond, "smartnialm": binary.smartnialm, "fired": binary.fired}
+READERS = {"plaid": text.plaid, "ukdale": text.ukdale, "refit": text.refit, "uci": text.uci, "hifda": text.hifda, "whited": binary.whited, "ukdale_waveforms": binary.ukdale_waveforms, "blond": binary.blond, "smartnialm": binary.smartnialm, "fired": binary.fired}
 
 
 def from_rows(spark: SparkSession, recordings: Iterable[dict]) -> text.Recordings:

@@ -22,10 +22,20 @@ class Recordings:
     channels: DataFrame
     samples: DataFrame
     activations: DataFrame | None = None
+    #: The samples in chunks, where a reader has them so: (channel_id, quantity, chunk, start, values).
+    signals: DataFrame | None = None
+
+    def limited(self, n: int) -> Recordings:
+        """The first n channels by id."""
+        channels = self.channels.orderBy("channel_id").limit(n)
+        own = lambda df: None if df is None else df.join(channels.select("channel_id"), "channel_id", "left_semi")
+        return Recordings(channels, own(self.samples), own(self.activations), own(self.signals))
 
     def write(self, path: str, appliances: DataFrame | None = None, overwrite: bool = False):
         from ..plans import store
 
+        if self.signals is not None:
+            return store.write_store(path, self.channels, self.signals, self.activations, appliances, overwrite=overwrite)
         signals = None
         for q in ("v", "i", "p"):
             part = store.chunked(self.samples.where(F.col("quantity") == q), ["channel_id"], "x", q)
