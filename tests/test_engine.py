@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from wattspark.functions import align, arrays, labels
 from wattspark.functions import electrical as E
-from wattspark.operators import detect, match, metrics, mixing, splits, windows
+from wattspark.operators import benchmark, detect, match, metrics, mixing, splits, windows
 from wattspark.operators import timeseries as T
 from wattspark.plans import views
 from wattspark.plans.measurement import Measurement
+from wattspark.streaming import jobs
 
 
 def long(spark, x, channel="c"):
@@ -314,3 +315,86 @@ def test_splits_check_their_sizes(spark):
             splits.RandomSplit(**bad)
     with pytest.raises(ValueError, match="no column"):
         splits.LeaveHouseOut().apply(spark.createDataFrame([("a", "i")], "channel_id string, instance_id string"))
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_benchmark_alignment(spark):
+    """Against the rule by hand: the run with more overlaps wins over a longer one; shifts are whole samples; the later run holds."""
+    mains = frame(spark, [("h", "m0", 0.0, 1.0, 20), ("h", "m1", 100.0, 1.0, 10)], "house string, run string, t0 double, fs double, n long")
+    runs = [("h", "a", "r0", 97.0, 1.0, 6), ("h", "a", "r1", 102.0, 1.0, 3), ("h", "b", "r2", 101.6, 1.0, 9), ("h", "c", "r3", 5.0, 1.0, 9), ("h", "d", "r4", 103.0, 1.0, 1)]
+    subs = frame(spark, runs, "house string, appliance string, run string, t0 double, fs double, n long")
+    series = frame(spark, [("h", a, r, k, 10.0 * k + 1) for _, a, r, _, _, n in runs for k in range(n)], "house string, appliance string, run string, k long, p double")
+    assert {r["run"]: r["overlaps"] for r in benchmark.overlap_counts(mains, subs, 1.5).collect()} == {"m0": 1, "m1": 3}
+    got = {}
+    for r in benchmark.aligned(mains, subs, series, 1.0, 1.5).collect():
+        got.setdefault(r["appliance"], {})[r["k"]] = r["p"]
+    assert set(got) == {"a", "b", "d"} and all(sorted(x) == list(range(10)) for x in got.values())
+    assert [got["a"][k] for k in range(10)] == [31.0, 41.0, 1.0, 11.0, 21.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert [got["b"][k] for k in range(10)] == [0.0, 0.0] + [10.0 * k + 1 for k in range(8)] and got["d"][3] == 1.0
+    assert benchmark.aligned(mains.where("false"), subs, series).count() == 0
+
+
+def test_overlap_counts_equal_all_pairs(spark):
+    r = np.random.default_rng(8)
+    rows = [("h", f"r{i}", float(a), 0.5, int(n)) for i, (a, n) in enumerate(zip(r.integers(0, 60, 80), r.integers(0, 12, 80)))]
+    mains = frame(spark, rows[:30], "house string, run string, t0 double, fs double, n long")
+    subs = frame(spark, rows[30:], "house string, run string, t0 double, fs double, n long")
+    want = {m[1]: sum(min(m[2] + 2 * m[4], s[2] + 2 * s[4]) - max(m[2], s[2]) > 6 for s in rows[30:]) for m in rows[:30]}
+    assert {x["run"]: x["overlaps"] for x in benchmark.overlap_counts(mains, subs, 6.0).collect()} == want
+
+
+def test_best_settings_take_the_first_of_equals(spark):
+    one = lambda v: frame(spark, [(v,)], "score double")
+    s = benchmark.sweep({("z", 1.0): one(0.2), ("z", 2.0): one(0.9), ("z", 3.0): one(0.9), ("c", 5.0): one(None), ("c", 6.0): one(0.1)}, "detector", "setting")
+    assert {r["detector"]: (r["setting"], r["score"]) for r in benchmark.best_settings(s, ["detector"], "setting", "score", "position").collect()} == {"z": (2.0, 0.9), "c": (6.0, 0.1)}
+
+
+def streamed(spark, tmp_path, parts, schema, apply):
+    """The rows of a stream that sees each part as a batch of its own."""
+    for n, rows in enumerate(parts):
+        frame(spark, rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    return jobs.to_table(apply(source), f"t{abs(hash(str(tmp_path)))}", "append", f"{tmp_path}/out").collect()
+
+
+def test_streamed_folds_do_not_see_batches(spark, tmp_path):
+    """z-score, suppression and cycles over many batches against plain loops over the whole series."""
+    r = np.random.default_rng(3)
+    n, size, tol = 400, 20, 1
+    v = np.sin(2 * np.pi * np.cumsum(r.choice([1 / 20, 1 / 21, 1 / 12], n, p=[0.6, 0.35, 0.05]))) + 0.001
+    x = np.where(np.arange(n) % 60 < 30, 1.0, 40.0) + r.normal(0, 0.2, n)
+    cuts = [0, 1, 7, 130, 131, 250, 400]
+    rows = [("c", k, float(v[k]), float(x[k])) for k in range(n)]
+    parts, schema = [rows[a:b] for a, b in zip(cuts, cuts[1:])], "channel_id string, t long, v double, x double"
+    cycles = {c["start"]: (c["v"], c["i"]) for c in streamed(spark, tmp_path / "a", parts, schema, lambda s: jobs.cycles(s, "channel_id", "t", "v", "x", size, tol))}
+    at = [k for k in range(n - 1) if v[k] < 0 <= v[k + 1]]
+    want = {}
+    for a, b in zip(at, at[1:]):
+        if abs(b - a - size) <= tol:
+            lo, hi = (k - v[k] / (v[k + 1] - v[k] + 1e-9) for k in (a, b))
+            grid = [lo + (hi - lo) / size * j for j in range(size)]
+            want[a] = (np.interp(grid, range(n), v), np.interp(grid, range(n), x))
+    assert want and set(cycles) == set(want) and len(want) < len(at) - 1
+    assert all(np.allclose(cycles[k], want[k]) for k in want)
+    whole = detect.ZScore(8, 2.0, 5, 5.0).apply(frame(spark, [("c", k, k, float(x[k])) for k in range(n)], "channel_id string, t long, k long, x double")).collect()
+    fired = streamed(spark, tmp_path / "b", parts, schema, lambda s: jobs.zscore(s, "channel_id", "t", "x", 8, 2.0, 5, 5.0))
+    assert whole and sorted(e["k"] for e in fired) == sorted(e["k"] for e in whole)
+    ks, last = [], -10
+    for k in range(0, n, 3):
+        if k - last >= 10:
+            ks, last = [*ks, k], k
+    events = [[("c", k) for k in range(a, b) if k % 3 == 0] for a, b in ((0, 100), (100, 250), (250, n))]
+    assert sorted(e["k"] for e in streamed(spark, tmp_path / "c", events, "channel_id string, k long", lambda s: jobs.suppressed(s, "channel_id", "k", 10))) == ks
+
+
+def test_evaluator_takes_events_and_unknown_scores(spark):
+    e = metrics.Evaluator(tolerance=1)
+    e.update_events(frame(spark, [("c", 3), ("c", 9)], "channel_id string, k long"), frame(spark, [("c", 4), ("c", 20)], "channel_id string, k long"))
+    assert e.compute()["event_tp"] == 1 and e.compute()["event_f1"] == pytest.approx(0.5, abs=1e-6)
+    e.update(frame(spark, [(w, "a", 0.1 * w, w > 2) for w in range(5)] * 2, "window long, appliance string, unknown_score double, is_unknown boolean"))
+    assert e.compute()["auroc"] == 1.0 and "event_fp" in e.compute()
+    e.reset()
+    assert e.compute() == {}

@@ -231,3 +231,31 @@ def test_frame_names():
     from wattspark.sources import binary
 
     assert binary.frame_names(b"(lp0\nVActive Power\np1\naVPower Factor\np2\na.") == ["Active Power", "Power Factor"] == binary.frame_names(["Active Power", b"Power Factor"])
+
+
+def test_report_says_what_blocks_and_what_narrows(spark, tmp_path):
+    wave = {"v": [230 * math.sqrt(2) * math.sin(2 * math.pi * k / 120) for k in range(1200)], "i": [0.5] * 1200}
+    row = lambda fs, signals: {"dataset": "d", "house": "h", "kind": "submeter", "appliance": "kettle", "fs": fs, "f0": 50.0, "signals": signals}
+    a = registry.from_rows(spark, [row(6000, wave)]).write(str(tmp_path / "a"))
+    b = registry.from_rows(spark, [row(1, {"p": [1.0] * 50})]).write(str(tmp_path / "b"))
+    one, both, low = compat.compatibility(a), compat.compatibility(a, b), compat.compatibility(b)
+    assert one.varying() == [] and all(one.is_compatible(v) for v in compat.VIEWS) and one.usable(views.HighFreqView(aligned=False)) == 1
+    assert both.blocking("raw") == ["fs"] and both.blocking("aligned") == [] and both.partial("aligned") == ["quantities"] and both.partial("lowfreq") == []
+    assert (both.usable("aligned"), both.usable(views.LowFreqView())) == (1, 2) and both.is_compatible("aligned") and not both.is_compatible("raw")
+    assert not low.is_compatible("aligned") and low.is_compatible("lowfreq") and low.axis("voltage") == []
+    table = both.to_frame().set_index("axis")
+    assert table.loc["fs", "distinct"] == 2 and table.loc["fs", "blocks"] == "raw" and table.loc["quantities", "narrows"] == "aligned, raw"
+    assert "aligned: ok on 1 of 2 channels" in both.summary() and "raw: blocked by fs" in both.summary()
+
+
+def test_batches_of_windows(spark):
+    rows = spark.createDataFrame([(f"c{k}", k, [float(k)] * 3) for k in range(5)], "channel_id string, start long, p array<double>")
+    got = list(views.batches(rows, 2))
+    assert [len(x["channel_id"]) for x in got] == [2, 2, 1] and got[0]["p"].shape == (2, 3) and isinstance(got[0]["channel_id"], list)
+    with pytest.raises(ValueError, match="extra"):
+        views.collate([{"a": 1}, {"a": 2, "extra": 3}])
+    assert views.collate([]) == {}
+    with pytest.raises(TypeError, match="supports"):
+        views.register("odd", object)
+    views.register("slow", lambda: views.LowFreqView(0.5))
+    assert views.VIEWS.pop("slow")().rate_hz == 0.5

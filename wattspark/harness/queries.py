@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import align, arrays, labels
 from ..functions import electrical as E
-from ..operators import detect, match, metrics, mixing, splits, targets, windows
+from ..operators import benchmark, detect, match, metrics, mixing, splits, targets, windows
 from ..operators import timeseries as T
-from ..plans import compat, store
+from ..plans import compat, store, views
 from ..streaming import jobs
 
 QUERIES: dict = {}
@@ -477,6 +477,136 @@ def merge_union(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+# ---- stores: each written by the engine and read back
+def event_store(spark, sf, rest: int):
+    """The events of users with this rest by 2 as a store: value as v, half of it as i, 5 samples a cycle at 50 samples a second."""
+    s = series(spark, sf).where(F.col("channel_id") % 2 == rest).withColumns({"channel_id": F.concat(F.lit("u"), "channel_id"), "i": F.col("x") / 2})
+    signals = store.chunked(s, ["channel_id"], "x", "v").unionByName(store.chunked(s, ["channel_id"], "i", "i"))
+    channels = s.groupBy("channel_id").agg(F.count("*").alias("n_samples")).withColumns({
+        "dataset": F.lit("odd" if rest else "even"), "house": F.concat(F.lit("h"), F.length("channel_id").cast("string")), "session": F.lit("s"), "kind": F.lit("submeter"),
+        "appliance": F.lit("Firdge" if rest else "kettle"), "brand": F.lit(None).cast("string"), "instance_id": F.lit(None).cast("string"), "fs": F.lit(50.0), "f0": F.lit(10.0), "t0": F.lit(0.0)})
+    return store.write_store(jobs.scratch(spark, "events"), store.with_ids(channels), signals, source="events")
+
+
+@query(f"WITH {EV} SELECT 'u' || channel_id AS channel_id, q AS quantity, k::BIGINT AS k, round((CASE q WHEN 'v' THEN x ELSE x / 2 END)::FLOAT::DOUBLE, 4) AS x FROM ev CROSS JOIN (VALUES ('v'), ('i')) t(q) WHERE channel_id % 2 = 0")
+def store_signals(spark, sf):
+    return store.unchunked(event_store(spark, sf, 0).signals).select("channel_id", "quantity", "k", r("x", 4).alias("x"))
+
+
+@query(f"WITH {EV} SELECT 'u' || channel_id AS channel_id, 'odd' AS dataset, 'Firdge' AS appliance, 'odd:h' || (length(channel_id::VARCHAR) + 1) || ':s' AS instance_id, count(*)::BIGINT AS n_samples, 'i,v' AS quantities FROM ev WHERE channel_id % 2 = 1 GROUP BY channel_id")
+def store_channels(spark, sf):
+    return event_store(spark, sf, 1).submeters().select("channel_id", "dataset", "appliance", "instance_id", "n_samples", F.array_join("quantities", ",").alias("quantities"))
+
+
+@query(f"WITH {EV} SELECT 'u' || channel_id AS channel_id, problem FROM (SELECT DISTINCT channel_id FROM ev WHERE channel_id % 2 = 0 AND channel_id % 3 = 0) CROSS JOIN (VALUES ('missing signal v'), ('not in the table: kettle')) t(problem) UNION ALL SELECT DISTINCT 'u' || channel_id, 'not in the table: kettle' FROM ev WHERE channel_id % 2 = 0 AND channel_id % 3 != 0 UNION ALL SELECT DISTINCT 'u' || channel_id, 'wrong hash' FROM ev WHERE channel_id % 2 = 0 AND channel_id % 3 = 0")
+def store_verify(spark, sf):
+    """Voltages of every third user are lost, and the appliance's row."""
+    s = event_store(spark, sf, 0)
+    whole = s.signals.where((F.col("quantity") != "v") | (F.substring("channel_id", 2, 20).cast("long") % 3 != 0))
+    return store.verify(s.channels, whole, s.activations, s.appliance_table.where("false"), True)
+
+
+@query(f"WITH {EV}, {CH_A}, w AS (SELECT channel_id, unnest(range(0, n, 10)) AS start FROM ch WHERE channel_id % 2 = 0) SELECT 'u' || w.channel_id AS channel_id, start::BIGINT AS start, 10::INT AS n, round(sum(x::FLOAT::DOUBLE * ev.k), 3) AS moment FROM w JOIN ev ON ev.channel_id = w.channel_id AND ev.k BETWEEN start AND start + 9 GROUP BY ALL")
+def raw_windows(spark, sf):
+    """Windows of 10 samples from the store's chunks, the last one of a channel filled with zeros."""
+    s = event_store(spark, sf, 0)
+    index = s.channels.select("channel_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1, F.lit(10).cast("long"))).alias("start")).withColumn("length", F.lit(10).cast("long"))
+    got = views.raw_windows(index, s.signals, ("v",))
+    moment = E.total(F.transform("v", lambda x, k: x * (k + F.col("start"))))
+    return got.select("channel_id", "start", F.size("v").alias("n"), r(moment, 3).alias("moment"))
+
+
+HEADS = "hd AS (SELECT channel_id, sqrt(avg(x::FLOAT::DOUBLE * x::FLOAT::DOUBLE)) AS rms FROM (SELECT *, count(*) OVER (PARTITION BY channel_id) AS n FROM ev) WHERE k < floor(least(50, n) / 5) * 5 GROUP BY channel_id)"
+
+
+@query(f"WITH {EV}, {HEADS} SELECT 'u' || channel_id AS channel_id, round(CASE WHEN rms > 1 THEN 230 / rms ELSE 1 END, 6) AS scale FROM hd WHERE channel_id % 2 = 0")
+def voltage_scales(spark, sf):
+    s = event_store(spark, sf, 0)
+    return compat.voltage_scale(s.signals, s.channels, 230.0).select("channel_id", r("scale", 6).alias("scale"))
+
+
+@query(f"WITH {EV}, {HEADS} SELECT CASE ev.channel_id % 2 WHEN 0 THEN 'even:u' ELSE 'odd:u' END || ev.channel_id AS channel_id, CASE ev.channel_id % 2 WHEN 0 THEN 'kettle' ELSE 'cooler' END AS appliance, count(*)::BIGINT AS n_samples, round(avg(x * x / 2), 2) AS p, round(sqrt(avg(x * x)) * CASE WHEN any_value(rms) > 1 THEN 230 / any_value(rms) ELSE 1 END, 2) AS vrms FROM ev LEFT JOIN hd ON hd.channel_id = ev.channel_id GROUP BY ev.channel_id")
+def merged_store(spark, sf):
+    """Two stores become one: labels by the alias table and a rename, voltages at 230 V, powers as before."""
+    out = compat.merge_stores([event_store(spark, sf, 0), event_store(spark, sf, 1)], jobs.scratch(spark, "merged"), ["fs", "f0", "voltage"], labels.Taxonomy(), {"fridge": "cooler"}, 230.0)
+    long_ = store.unchunked(out.signals).groupBy("channel_id", "k").pivot("quantity", ["v", "i"]).agg(F.first("x"))
+    power = long_.groupBy("channel_id").agg(r(F.avg(F.col("v") * F.col("i")), 2).alias("p"), r(F.sqrt(F.avg(F.col("v") * F.col("v"))), 2).alias("vrms"))
+    return out.channels.select("channel_id", "appliance", "n_samples").join(power, "channel_id")
+
+
+SPELLINGS = sorted({x for name, own in labels.ALIASES.items() for x in [name, *own]})
+MEANT = {x: name for name, own in labels.ALIASES.items() for x in [name, *own]}
+ALIAS_SQL = "al(n, label, canonical, category) AS (VALUES " + ", ".join(f"({n}, '{x}', '{MEANT[x]}', '{labels.CATEGORIES[MEANT[x]]}')" for n, x in enumerate(SPELLINGS)) + ")"
+
+
+@query(f"WITH {ALIAS_SQL} SELECT p_partkey, canonical, category FROM part JOIN al ON n = p_partkey % {len(SPELLINGS)}")
+def alias_table(spark, sf):
+    """The shipped alias table: each part bears one of its spellings, in capitals, with an instance number."""
+    words = F.array(*map(F.lit, SPELLINGS))
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.upper(F.get(words, (F.col("p_partkey") % len(SPELLINGS)).cast("int"))), F.lit(" (2)")).alias("label"), F.lit("d").alias("dataset"))
+    t = labels.Taxonomy()
+    groups = t.report(p, "label", "dataset").select("label", "category")
+    return t.resolve(p, "label", "dataset").join(groups, "label").select("p_partkey", "canonical", "category")
+
+
+@query(f"WITH {PT} SELECT channel_id, regexp_replace(dataset || '-' || house || '-run 0-' || appliance, '[^A-Za-z0-9_.-]', '_', 'g') AS made_id, CASE WHEN size % 3 = 0 THEN 'mine' WHEN size % 3 = 1 THEN appliance || ':' || brand ELSE dataset || ':' || house || ':run 0' END AS made_instance, CASE WHEN appliance LIKE 'S%' THEN 'plain' ELSE appliance END AS appliance FROM pt")
+def channel_names(spark, sf):
+    p = part_channels(spark, sf).withColumns({"session": F.lit("run 0"), "size": F.col("n_samples") / 36000})
+    p = p.withColumns({"instance_id": F.when(F.col("size") % 3 == 0, "mine"), "brand": F.when(F.col("size") % 3 == 1, F.col("brand"))})
+    p = p.withColumns({"made_id": labels.channel_id("dataset", "house", "session", "appliance", "kind"), "made_instance": labels.instance_id("instance_id", "appliance", "brand", "dataset", "house", "session")})
+    plain = {t: "plain" for t in TYPES if t.startswith("S")}
+    return labels.relabelled(p.select("channel_id", "made_id", "made_instance", "appliance"), "appliance", None, plain)
+
+
+@query(f"WITH {PT} SELECT channel_id, ceil(11 * 1.3::DOUBLE * size / 50)::BIGINT AS cycles, ceil(30 * size / 2.0::DOUBLE)::BIGINT AS steps FROM pt")
+def view_samples(spark, sf):
+    p = part_channels(spark, sf).withColumn("fs", (F.col("n_samples") / 36000).cast("double"))
+    return p.select("channel_id", views.HighFreqView(10).window_samples().alias("cycles"), views.LowFreqView(2.0, 30).window_samples().alias("steps"))
+
+
+# ---- a benchmark of detectors
+def benchmark_runs(spark, sf):
+    """(mains, sub-meters, series): the grids of even users are mains, those of odd ones sub-meters, five houses."""
+    g = grid(spark, sf).withColumns({"house": F.col("channel_id") % 5, "run": F.concat_ws(":", "channel_id", "run"), "appliance": F.concat(F.lit("a"), F.floor(F.col("channel_id") / 5) % 4)})
+    runs = g.groupBy("house", "channel_id", "appliance", "run").agg((F.min("t") / 1e6).alias("t0"), F.count("*").alias("n")).withColumn("fs", F.lit(1e6 / STEP))
+    odd = F.col("channel_id") % 2 == 1
+    return runs.where(~odd), runs.where(odd), g.where(odd).select("house", "appliance", "run", "k", F.col("x").alias("p"))
+
+
+BENCH = f"""{EV}, {RUNS}, {GRID}, ru AS (SELECT channel_id % 5 AS house, channel_id, 'a' || (channel_id // 5 % 4) AS appliance, channel_id || ':' || run AS run, min(t) / 1e6 AS t0, count(*) AS n FROM ff GROUP BY channel_id, run),
+sc AS (SELECT m.house, m.run, m.t0, m.n, (SELECT count(*) FROM ru s WHERE s.house = m.house AND s.channel_id % 2 = 1 AND least(m.t0 + m.n * 21600, s.t0 + s.n * 21600) - greatest(m.t0, s.t0) > 90000) AS c FROM ru m WHERE m.channel_id % 2 = 0),
+bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY house ORDER BY c DESC, n DESC, t0, run) = 1)"""
+
+
+@query(f"WITH {BENCH} SELECT house, run, c::BIGINT AS overlaps FROM bs")
+def benchmark_run(spark, sf):
+    m, s, _ = benchmark_runs(spark, sf)
+    best = benchmark.benchmark_runs(m, s, 24.0, 90_000.0).select("house", "run")
+    return benchmark.overlap_counts(m, s, 90_000.0).join(best, ["house", "run"]).select("house", "run", "overlaps")
+
+
+@query(f"""WITH {BENCH}, b AS (SELECT house, t0, least(n, 240) AS w FROM bs), mv AS (SELECT s.*, b.w, round_even((s.t0 - b.t0) * (1e6 / {STEP}), 0)::BIGINT AS sh FROM ru s JOIN b ON b.house = s.house WHERE s.channel_id % 2 = 1),
+ks AS (SELECT house, appliance, w FROM mv WHERE least(n - greatest(-sh, 0), w - greatest(sh, 0)) > 0 GROUP BY ALL HAVING sum(least(n - greatest(-sh, 0), w - greatest(sh, 0))) > w // 100),
+th AS (SELECT mv.house, mv.appliance, ff.k + sh AS k, arg_max(x, (t0, mv.run)) AS p FROM ff JOIN mv ON mv.channel_id = ff.channel_id AND mv.run = ff.channel_id || ':' || ff.run WHERE ff.k + sh >= 0 AND ff.k + sh < w GROUP BY ALL),
+gd AS (SELECT house, appliance, unnest(range(0, w)) AS k FROM ks)
+SELECT gd.house, gd.appliance, gd.k::BIGINT AS k, round(coalesce(p, 0), 5) AS p FROM gd LEFT JOIN th ON th.house = gd.house AND th.appliance = gd.appliance AND th.k = gd.k""")
+def benchmark_align(spark, sf):
+    return benchmark.aligned(*benchmark_runs(spark, sf), 1440.0, 90_000.0).select("house", "appliance", "k", r("p").alias("p"))
+
+
+LEVELS = (60.0, 70.0, 80.0, 90.0)
+
+
+@query(f"""WITH {EV}, lv AS (SELECT unnest([{', '.join(map(str, LEVELS))}])::DOUBLE AS level), h AS (SELECT channel_id, level, count(*) FILTER (WHERE x > level) AS n, count(*) AS a FROM ev CROSS JOIN lv GROUP BY ALL)
+SELECT channel_id, arg_min(level, (abs(n / a::DOUBLE - 0.25), level)) AS level, round(1 - min(abs(n / a::DOUBLE - 0.25)), 6) AS score FROM h GROUP BY channel_id""")
+def best_level(spark, sf):
+    """Of each user the level that a quarter of the values pass most nearly; the first of equal ones."""
+    s = series(spark, sf)
+    each = {("level", x): s.groupBy("channel_id").agg((1 - F.abs(F.count(F.when(F.col("x") > x, 1)) / F.count("*") - 0.25)).alias("score")) for x in LEVELS}
+    got = benchmark.best_settings(benchmark.sweep(each, "detector", "level"), ["channel_id"], "level", "score", "position")
+    return got.select("channel_id", "level", r("score", 6).alias("score"))
+
+
 # ---- adapter B: embeddings as cycles
 def cycles(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -622,6 +752,36 @@ def aligned_cycles(spark, sf):
     return got.select("channel_id", F.size(F.filter("a.mask", lambda m: m)).alias("n_valid"), r(F.array_max(F.transform(F.flatten("a.v"), F.abs))).alias("peak"))
 
 
+@query(f"WITH {CY}, c AS (SELECT vec_id, k, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM lg), h AS (SELECT unnest(range(0, 33)) AS h), m AS (SELECT vec_id, h, sqrt(pow(sum(v * cos(2 * pi() * h * k / 64)), 2) + pow(sum(v * sin(2 * pi() * h * k / 64)), 2)) AS a FROM c CROSS JOIN h GROUP BY vec_id, h) SELECT vec_id, arg_max(h, a) * 100 / 64.0::DOUBLE AS f0 FROM m GROUP BY vec_id")
+def estimated_f0(spark, sf):
+    return cycles(spark, sf).select("vec_id", align.estimate_f0_udf(100.0)("v").alias("f0"))
+
+
+@query(f"""WITH {CY}, fr AS (SELECT unnest(range(0, 9)) AS f), pd AS (SELECT f, j, CASE WHEN f * 8 + j < 8 THEN 8 - f * 8 - j WHEN f * 8 + j > 71 THEN 134 - f * 8 - j ELSE f * 8 + j - 8 END AS k, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16) AS w FROM fr CROSS JOIN (SELECT unnest(range(0, 16)) AS j)),
+b AS (SELECT unnest(range(0, 9)) AS h), z AS (SELECT vec_id, h, f, sum(v * w * cos(2 * pi() * h * j / 16)) AS re, sum(v * w * sin(2 * pi() * h * j / 16)) AS im FROM lg JOIN pd ON pd.k = lg.k CROSS JOIN b GROUP BY ALL)
+SELECT vec_id, h::INT AS bin, f::INT AS frame, round(10 * log10(greatest(sqrt(re * re + im * im) / sqrt(6.0::DOUBLE), 1e-10)), 4) AS db FROM z""")
+def spectrogram(spark, sf):
+    c = cycles(spark, sf).select("vec_id", F.posexplode(arrays.spectrogram_udf(16, 8)("v")).alias("bin", "row"))
+    return c.select("vec_id", "bin", F.posexplode("row").alias("frame", "db")).withColumn("db", r("db", 4))
+
+
+@query(f"WITH {CY} SELECT vec_id, (k // 8)::INT AS step, round(avg(v * i), 7) AS active, round(sqrt(avg(v * v)) * sqrt(avg(i * i)), 7) AS apparent FROM lg GROUP BY vec_id, k // 8")
+def lowfreq_view(spark, sf):
+    c = cycles(spark, sf)
+    a = long(views.LowFreqView(1.0, 8)(c).select("vec_id", F.col("p").alias("active")), "active", name="step", n=7)
+    return a.join(long(views.LowFreqView(1.0, 8, "apparent")(c).select("vec_id", F.col("p").alias("apparent")), "apparent", name="step", n=7), ["vec_id", "step"])
+
+
+@query(f"WITH {CY} SELECT vec_id, round(avg(v * i), 6) AS p, round(avg(v * i) / greatest(sqrt(avg(v * v)) * sqrt(avg(i * i)), 1e-12), 5) AS pf, TRUE AS scaled FROM lg GROUP BY vec_id")
+def jitter(spark, sf):
+    """What jitter leaves: the power under voltage jitter; the power factor, and power over p_total, under gain jitter."""
+    c = cycles(spark, sf).withColumn("p_total", E.array_active_power("v", "i")).withColumn("power", F.array("p_total"))
+    a = mixing.voltage_jitter(c, 0.1, 7, ["vec_id"]).select("vec_id", r(E.array_active_power("v", "i"), 6).alias("p"))
+    g = mixing.gain_jitter(c, 0.1, 7, ["vec_id"]).withColumn("now", E.array_active_power("v", "i"))
+    near = F.abs(F.col("now") - F.col("p_total")) + F.abs(F.element_at("power", 1) - F.col("p_total")) <= 1e-9
+    return a.join(g.select("vec_id", r(E.power_factor(F.col("now"), E.array_apparent_power("v", "i"))).alias("pf"), near.alias("scaled")), "vec_id")
+
+
 # ---- metrics
 def judged(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
@@ -712,6 +872,23 @@ def cusum_stream(spark, sf):
     return jobs.to_table(jobs.cusum(s.withColumnRenamed("user_id", "channel_id"), "channel_id", "ts", "value", 16, 120.0, 5.0), name, "append")
 
 
+@query(SQL["zscore_events"])
+def zscore_stream(spark, sf):
+    s, name = event_stream(spark, sf)
+    return jobs.to_table(jobs.zscore(s.withColumnRenamed("user_id", "channel_id"), "channel_id", "ts", "value", 8, 2.0, 3, 5.0), name, "append")
+
+
+@query(f"""WITH {EV}, n AS (SELECT channel_id, k, x - 50 AS v, lead(x) OVER (PARTITION BY channel_id ORDER BY k) - 50 AS nv FROM ev),
+z AS (SELECT channel_id, k, k - v / (nv - v + 1e-9) AS a, lead(k) OVER (PARTITION BY channel_id ORDER BY k) AS k2, lead(k - v / (nv - v + 1e-9)) OVER (PARTITION BY channel_id ORDER BY k) AS b FROM n WHERE v < 0 AND nv >= 0),
+q AS (SELECT channel_id, k AS start, j, a + (b - a) / 4 * j AS p FROM z CROSS JOIN (SELECT unnest(range(4)) AS j) WHERE abs(k2 - k - 4) <= 2)
+SELECT q.channel_id, start::BIGINT AS start, j::INT AS k, round(v + coalesce(nv - v, 0) * (p - floor(p)), 5) AS v FROM q JOIN n ON n.channel_id = q.channel_id AND n.k = floor(p)::BIGINT""")
+def cycle_stream(spark, sf):
+    s, name = event_stream(spark, sf)
+    s = s.withColumn("value", F.col("value") - 50).withColumn("i", F.col("value") * 2).withColumnRenamed("user_id", "channel_id")
+    got = jobs.to_table(jobs.cycles(s, "channel_id", "ts", "value", "i", 4, 2), name, "append")
+    return long(got, "v", ("channel_id", "start"))
+
+
 def flagship(spark, sf):
     """Detection end to end: steps found in each series, matched with the true transitions, scored by user."""
     p, a = predicted_and_true(spark, sf)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
 
+from . import match
+
 
 def truth(x: Column | str) -> Column:
     """Numbers over 0.5 are true."""
@@ -98,14 +102,19 @@ def compare(results: DataFrame, baseline: str, lower_is_better: list[str]) -> Da
 class Evaluator:
     """Holds prediction tables of several batches and reports on all of them; metrics without input columns are left out (MT-12)."""
 
-    def __init__(self, appliance="appliance", window="window"):
-        self.appliance, self.window, self.parts = appliance, window, []
+    def __init__(self, appliance="appliance", window="window", tolerance: int = 8):
+        self.appliance, self.window, self.tolerance = appliance, window, tolerance
+        self.reset()
 
     def update(self, df: DataFrame) -> None:
         self.parts.append(df)
 
+    def update_events(self, predicted: DataFrame, actual: DataFrame) -> None:
+        """Both (channel_id, k); channels of different batches differ."""
+        self.events.append((predicted.select("channel_id", "k"), actual.select("channel_id", "k")))
+
     def reset(self) -> None:
-        self.parts = []
+        self.parts, self.events = [], []
 
     def frame(self) -> DataFrame:
         out = self.parts[0]
@@ -113,7 +122,16 @@ class Evaluator:
             out = out.unionByName(p)
         return out
 
+    def event_metrics(self) -> dict[str, float]:
+        if not self.events:
+            return {}
+        predicted, actual = (reduce(DataFrame.unionByName, x) for x in zip(*self.events))
+        got = match.event_counts(predicted, actual, "channel_id", self.tolerance).first().asDict()
+        return {f"event_{k}": v for k, v in got.items()}
+
     def compute(self) -> dict[str, float]:
+        if not self.parts:
+            return self.event_metrics()
         df = self.frame()
         has, out = set(df.columns), {}
         if {"presence_pred", "presence"} <= has:
@@ -126,7 +144,9 @@ class Evaluator:
             out |= joint_metrics(df, "power_pred", "power", "presence_pred", "presence").first().asDict()
         if {"probability", "presence"} <= has:
             out |= calibration_error(df, "probability", "presence").first().asDict()
-        return out
+        if {"unknown_score", "is_unknown", self.window} <= has:
+            out |= unknown_auroc(df.select(self.window, "unknown_score", "is_unknown").distinct(), "unknown_score", "is_unknown", self.window).first().asDict()
+        return out | self.event_metrics()
 
     def report(self) -> str:
         return format_table([{"metric": k, "value": v} for k, v in self.compute().items()])

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from . import store as ST
 
-BLOCKS = {"fs": [], "f0": [], "quantities": ["aligned", "raw"], "vocabulary": [], "voltage": ["aligned", "raw"], "dataset": []}
+VIEWS = ("aligned", "raw", "lowfreq")
+# The views that an axis breaks where it varies, and those that it narrows to the channels that can serve them.
+BLOCKS = {"fs": ["raw"], "f0": ["raw"], "quantities": [], "vocabulary": [], "voltage": ["aligned", "raw", "lowfreq"], "dataset": []}
+NARROWS = {"fs": [], "f0": [], "quantities": ["aligned", "raw"], "vocabulary": [], "voltage": [], "dataset": []}
 
 
 def axes(channels: DataFrame) -> DataFrame:
@@ -58,12 +61,29 @@ def supports(view: str = "aligned", rate_hz: float = 1.0) -> Column:
     return ((has("v") & has("i")) | has("p")) & (F.col("fs") >= rate_hz)
 
 
+def view_name(view) -> str:
+    """The name of a view, which may be given as an object."""
+    if isinstance(view, str):
+        return view
+    if hasattr(view, "aligned"):
+        return "aligned" if view.aligned else "raw"
+    return "lowfreq"
+
+
+def usable_counts(channels: DataFrame) -> dict[str, int]:
+    """Of each view, the channels that hold its quantities; and all channels."""
+    waves = F.array_contains("quantities", "v") & F.array_contains("quantities", "i")
+    one = lambda c: F.count(F.when(c, 1))
+    return channels.agg(one(waves).alias("aligned"), one(waves).alias("raw"), one(waves | F.array_contains("quantities", "p")).alias("lowfreq"), F.count("*").alias("all")).first().asDict()
+
+
 @dataclass
 class CompatibilityReport:
-    """values: by axis; n_stores."""
+    """values: by axis; n_stores; n_usable: channels by view, and all."""
 
     values: dict[str, list[str]]
     n_stores: int
+    n_usable: dict[str, int]
 
     def axis(self, name: str) -> list[str]:
         if name not in BLOCKS:
@@ -73,23 +93,45 @@ class CompatibilityReport:
     def varying(self) -> list[str]:
         return sorted(k for k, v in self.values.items() if len(v) > 1)
 
-    def blocking(self, view: str) -> list[str]:
-        return [k for k in self.varying() if view in BLOCKS[k]]
+    def blocking(self, view="aligned") -> list[str]:
+        return [k for k in self.varying() if view_name(view) in BLOCKS[k]]
+
+    def partial(self, view="aligned") -> list[str]:
+        """Axes that narrow the view to some of the channels."""
+        return [k for k in self.varying() if view_name(view) in NARROWS[k]]
+
+    def usable(self, view="aligned") -> int:
+        return self.n_usable[view_name(view)]
+
+    def is_compatible(self, view="aligned") -> bool:
+        return not self.blocking(view) and self.usable(view) > 0
+
+    def to_frame(self):
+        """A pandas table, one row an axis; six values at most are shown."""
+        import pandas as pd
+
+        rows = [{"axis": k, "distinct": len(v), "values": v if len(v) <= 6 else [*v[:6], "..."], "blocks": ", ".join(BLOCKS[k]) or "-", "narrows": ", ".join(NARROWS[k]) or "-"} for k, v in sorted(self.values.items())]
+        return pd.DataFrame(rows, columns=["axis", "distinct", "values", "blocks", "narrows"])
 
-    def is_compatible(self, view: str) -> bool:
-        return not self.blocking(view)
+    def verdict(self, view="aligned") -> str:
+        n, every = self.usable(view), self.n_usable["all"]
+        if blockers := self.blocking(view):
+            return "blocked by " + ", ".join(blockers)
+        return "no channel can serve it" if n == 0 else f"ok on all {every} channels" if n == every else f"ok on {n} of {every} channels"
 
     def summary(self) -> str:
-        return "\n".join(f"{k}: {'varies: ' if len(v) > 1 else ''}{', '.join(v)}" for k, v in sorted(self.values.items()))
+        lines = [f"{v}: {self.verdict(v)}" for v in VIEWS]
+        return "\n".join(lines + [f"{k}: {'varies: ' if len(v) > 1 else ''}{', '.join(v)}" for k, v in sorted(self.values.items())])
 
 
 def compatibility(*stores: ST.Store, deep: bool = True, voltage_tolerance: float = 0.05) -> CompatibilityReport:
+    """Supply voltages of at most 1 V are no supply and do not count."""
     channels = reduce(DataFrame.unionByName, (s.channels for s in stores))
     values = {r["axis"]: r["values"] for r in axes(channels).collect()}
     if deep:
-        v = reduce(DataFrame.unionByName, (supply_voltages(s.signals) for s in stores)).agg(clusters(F.collect_set(F.bround("vrms", 3)), voltage_tolerance).alias("c")).first()[0]
+        v = reduce(DataFrame.unionByName, (supply_voltages(s.signals) for s in stores)).where("vrms > 1").agg(clusters(F.collect_set(F.bround("vrms", 3)), voltage_tolerance).alias("c")).first()[0]
         values["voltage"] = [f"{x:.1f}" for x in v or []]
-    return CompatibilityReport(values, len(stores))
+    return CompatibilityReport(values, len(stores), usable_counts(channels))
 
 
 def voltage_scale(signals: DataFrame, channels: DataFrame, target: float) -> DataFrame:

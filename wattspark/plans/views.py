@@ -117,3 +117,34 @@ def raw_windows(index: DataFrame, signals: DataFrame, quantities: tuple[str, ...
         padded = whole.select("channel_id", "start", "length", F.transform(F.concat(flat, F.array_repeat(F.lit(0.0).cast("float"), (F.col("length") - F.size(flat)).cast("int"))), lambda x: x.cast("double")).alias(q))
         out = out.join(padded, ["channel_id", "start", "length"], "left")
     return out
+
+
+def register(name: str, make) -> None:
+    """Adds a view of one's own: make() gives an object with supports(), window_samples(), output_shape() and a call on windows (WV-08)."""
+    missing = [m for m in ("supports", "window_samples", "output_shape", "__call__") if not hasattr(make(), m)]
+    if missing:
+        raise TypeError(f"a view needs {missing}")
+    VIEWS[name] = make
+
+
+def collate(items: list[dict]) -> dict:
+    """One batch of window items: arrays and numbers are stacked, all else stays a list (WV-12). Items whose keys differ are refused (SO-05)."""
+    import numpy as np
+
+    odd = set().union(*items) - set.intersection(*map(set, items)) if items else set()
+    if odd:
+        raise ValueError(f"items of a batch must have the same keys; only some have {sorted(odd)}")
+    stack = lambda x: np.stack([np.asarray(y) for y in x]) if isinstance(x[0], (int, float, list, np.ndarray, np.generic)) else x
+    return {k: stack([item[k] for item in items]) for k in (items[0] if items else [])}
+
+
+def batches(windows: DataFrame, size: int):
+    """Collated batches of a DataFrame of windows, fetched a partition at a time (WV-10)."""
+    held: list[dict] = []
+    for row in windows.toLocalIterator():
+        held.append(row.asDict())
+        if len(held) == size:
+            yield collate(held)
+            held = []
+    if held:
+        yield collate(held)
