@@ -363,8 +363,8 @@ def streamed(spark, tmp_path, parts, schema, apply):
 def test_streamed_folds_do_not_see_batches(spark, tmp_path):
     """z-score, suppression and cycles over many batches against plain loops over the whole series."""
     r = np.random.default_rng(3)
-    n, size, tol = 400, 20, 1
-    v = np.sin(2 * np.pi * np.cumsum(r.choice([1 / 20, 1 / 21, 1 / 12], n, p=[0.6, 0.35, 0.05]))) + 0.001
+    n, size, tol = 400, 20, 3
+    v = np.sin(2 * np.pi * np.cumsum(np.where(np.arange(n) % 100 < 70, 1 / 20.3, 1 / 11))) + 0.001
     x = np.where(np.arange(n) % 60 < 30, 1.0, 40.0) + r.normal(0, 0.2, n)
     cuts = [0, 1, 7, 130, 131, 250, 400]
     rows = [("c", k, float(v[k]), float(x[k])) for k in range(n)]

@@ -602,9 +602,9 @@ SELECT channel_id, arg_min(level, (abs(n / a::DOUBLE - 0.25), level)) AS level,
 def best_level(spark, sf):
     """Of each user the level that a quarter of the values pass most nearly; the first of equal ones."""
     s = series(spark, sf)
-    each = {("level", x): s.groupBy("channel_id").agg((1 - F.abs(F.count(F.when(F.col("x") > x, 1)) / F.count("*") - 0.25)).alias("score")) for x in LEVELS}
+    each = {("level", x): s.groupBy("channel_id").agg((-F.abs(F.count(F.when(F.col("x") > x, 1)) / F.count("*") - 0.25)).alias("score")) for x in LEVELS}
     got = benchmark.best_settings(benchmark.sweep(each, "detector", "level"), ["channel_id"], "level", "score", "position")
-    return got.select("channel_id", "level", r("score", 6).alias("score"))
+    return got.select("channel_id", "level", r(1 + F.col("score"), 6).alias("score"))
 
 
 # ---- adapter B: embeddings as cycles
