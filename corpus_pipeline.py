@@ -19,10 +19,25 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_distinct(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each group of near duplicates; documents without an id stay."""
-    found = jaccard.components(docs)
-    spare = found.where("doc_id is not null and doc_id != component_id").select("doc_id")
-    return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group of near duplicates: that with the smallest doc_id.
+
+    Rows whose doc_id is null or repeats are documents of their own and come after all others, in no fixed order: one row of copies that have
+    the same id, or none, stays too. Empty texts are near nothing and stay; an empty table stays empty.
+    """
+    from pyspark.sql import functions as F
+
+    repeats = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id")
+    if repeats.isEmpty():
+        spare = jaccard.components(docs).where("doc_id != component_id").select("doc_id")
+        return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
+    marked = docs.join(repeats.where("doc_id is not null").withColumn("_again", F.lit(True)), "doc_id", "left")
+    own = F.when(F.col("doc_id").isNull() | F.col("_again"), F.struct(F.lit(1).alias("late"), F.monotonically_increasing_id().alias("id"))).otherwise(F.struct(F.lit(0).alias("late"), F.col("doc_id").alias("id")))
+    rows = K.saved(marked.select(*COLUMNS, own.alias("_own")), spark, "rows-with-keys")
+    # The late rows' keys follow the largest id that is there once.
+    top = rows.where("_own.late = 0").agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("m")).first()["m"]
+    rows = rows.withColumn("_key", F.when(F.col("_own.late") == 1, F.lit(top) + 1 + F.col("_own.id")).otherwise(F.col("doc_id")))
+    spare = jaccard.components(rows.select(F.col("_key").alias("doc_id"), "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(spare, "_key", "left_anti").select(*COLUMNS)
 
 
 def redact(spark, docs, sf_dir):
