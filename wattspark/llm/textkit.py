@@ -53,7 +53,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(table: pa.RecordBatch, text: str, limit: int = 2 << 20):
+def slices(table: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """Cuts a batch so that each part holds about `limit` bytes of text, or one row."""
     column = table.column(text)
     sizes = np.diff(text_bytes(column)[1]) if len(column) else np.zeros(0, np.int64)

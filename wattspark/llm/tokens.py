@@ -34,7 +34,7 @@ class ChunkEncoder:
     """
 
     #: Rows of the table (a power of two), ids held at most before all is forgotten, and bytes of the longest chunk remembered.
-    SLOTS, POOL, LONGEST = 1 << 20, 8_000_000, 64
+    SLOTS, POOL, LONGEST = 1 << 19, 3_500_000, 64
     #: Chunks in one call of the library.
     JOINED = 5_000
 
