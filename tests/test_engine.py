@@ -223,6 +223,18 @@ def test_superposition_keeps_power(spark):
     assert all(x["q"] == pytest.approx(x["p_total"]) for x in jittered)
 
 
+@pytest.mark.parametrize("names,tries", [("ab", 2), ("aaab", 1), ("abcde", 16), ("a", 3)])
+def test_partner_plans_equal_the_plan_of_single_windows(spark, names, tries):
+    channel = {i * i: None if i % 11 == 5 else names[i % len(names)] for i in range(150)}
+    pool = {w: c for w, c in channel.items() if w % 3 != 1}
+    table = lambda rows: spark.createDataFrame(list(rows.items()), "window_idx long, channel_id string").repartition(3)
+    for k, p in (((2, 3), 1.0), ((1, 4), 0.6)):
+        got = mixing.partner_plans(table(channel), table(pool), k, p, seed=7, epoch=2, max_tries=tries)
+        assert sorted(map(tuple, got.collect())) == sorted(mixing.partner_plan(list(channel), pool, channel, k, p, 7, 2, tries))
+    assert mixing.partner_plans(table(channel).where("false"), table(pool)).count() == 0
+    assert mixing.partner_plans(table(channel), table(pool).where("false")).count() == 0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("w1", "a", 10.0, 10.0), ("w1", "b", 5.0, 10.0), ("w2", "a", 20.0, 20.0), ("w2", "b", 15.0, 10.0)], "window string, appliance string, power_pred double, power double")
     m = metrics.power_metrics(df, "power_pred", "power", "appliance", "window").first()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.electrical import array_active_power, mean, total
@@ -62,6 +62,46 @@ def partner_plan(window_idx: list[int], pool: dict[int, str], channel: dict[int,
     return out
 
 
+def partner_plans(windows: DataFrame, pool: DataFrame, k: tuple[int, int] = (2, 3), p: float = 1.0, seed: int = 0, epoch: int = 0, max_tries: int = 16) -> DataFrame:
+    """The rows of partner_plan() as a DataFrame (window_idx, order, partner), for windows of any number.
+
+    windows, pool: (window_idx, channel_id); window_idx is unique and not null, and a null channel is a channel. All draws that a window may
+    need are made at once; they are ranks in the pool's order, so partners come by one equi-join and a fold over a window's few draws.
+    Ranks are places in a block of 4,096 ids, and what comes before a block: only the blocks' counts are summed in one task.
+    """
+    size = pool.count()
+    ids, wanted = "window_idx", (k[1] - 1) * max_tries
+    if size < 2 or wanted < 1:
+        return windows.sparkSession.createDataFrame([], "window_idx long, order int, partner long")
+
+    def draw(batches):
+        for batch in batches:
+            rows = []
+            for w in batch[ids].tolist():
+                rng = np.random.default_rng((seed, epoch, w))
+                n = 0 if rng.random() > p else int(rng.integers(k[0], k[1] + 1))
+                rows.append((n, [int(rng.integers(size)) for _ in range((n - 1) * max_tries)]))
+            yield batch.assign(n=[n for n, _ in rows], ranks=[r for _, r in rows])
+
+    block = F.floor(F.col(ids) / 4096)
+    before = pool.groupBy(block.alias("block")).count().select("block", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("partner")) - 1
+    ranked = pool.select(block.alias("block"), F.col(ids).alias("partner"), F.col("channel_id").alias("other")).withColumn("place", place).join(before, "block").select((F.col("before") + F.col("place")).alias("rank"), "partner", "other")
+    kind = windows.schema["channel_id"].dataType.simpleString()
+    drawn = windows.select(F.col(ids).cast("long").alias(ids), "channel_id").mapInPandas(draw, f"window_idx long, channel_id {kind}, n int, ranks array<long>")
+    tries = drawn.where("n > 1").select(ids, "channel_id", "n", F.posexplode("ranks").alias("at", "rank")).join(ranked, "rank")
+    rows = tries.groupBy(ids, "channel_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "partner", "other"))).alias("draws"))
+
+    def step(a, d):
+        fresh = ~F.exists(a["used"], lambda u: u.eqNullSafe(d["other"]))
+        hit = F.struct(F.concat(a["used"], F.array(d["other"])).alias("used"), F.concat(a["out"], F.array(d["partner"])).alias("out"), F.lit(0).alias("missed"))
+        miss = F.struct(a["used"].alias("used"), a["out"].alias("out"), (a["missed"] + 1).alias("missed"))
+        return F.when((a["missed"] >= max_tries) | (F.size(a["out"]) >= F.col("n") - 1), a).when(fresh, hit).otherwise(miss)
+
+    start = F.struct(F.array("channel_id").alias("used"), F.array().cast("array<bigint>").alias("out"), F.lit(0).alias("missed"))
+    return rows.select(ids, F.posexplode(F.aggregate("draws", start, step, lambda a: a["out"])).alias("order", "partner"))
+
+
 def mixed(windows: DataFrame, plan: DataFrame, rounds: int) -> DataFrame:
     """windows(window_idx, ...) with the plan's (window_idx, order, partner) added in order; n_components counts all parts."""
     out = windows.withColumn("n_components", F.lit(1).cast("long"))
