@@ -40,3 +40,25 @@ def test_query(spark, tables, name):
 
 def test_flagship(spark):
     assert Q.flagship(spark, SF).count() > 0
+
+
+PURCHASES = {
+    1: [86.96, 33.82, 9.96, 24.86, 87.28, 56.69, 21.21, 115.44, 2.23, 61.68, 124.86, 20.58, 14.79, 22.28, 6.81, 69.4],
+    2: [2.89, 102.17, 30.63, 67.02, 56.29, 128.24, 27.29, 38.45, 19.94, 89.98, 24.34, 115.55, 20.1],
+    3: [19.04, 1.24, 65.43, 4.23, 209.84, 6.55, 21.41, 43.85, 79.41, 29.97, 25.36, 33.84],
+}
+
+
+def test_means_of_just_the_threshold(spark, tmp_path):
+    """Rows of larger tables whose window means are 40 by sums in order, or 40 and a rounding; earlier samples must not move them."""
+    at = [(u, k, v, kind) for u, vs in PURCHASES.items() for kind in ("purchase", "error") for k, v in enumerate(vs)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, TIMESTAMP '2024-01-01' + ? * INTERVAL 1 HOUR, ?, ?, ?, '{}')", [(n, k, u, kind, v) for n, (u, k, v, kind) in enumerate(at)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = Q.window_targets(spark, str(tmp_path)).collect()
+    cur = con.execute(Q.SQL["window_targets"])
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(plain(r[c]) for c in names) for r in got) == sorted(tuple(map(plain, r)) for r in cur.fetchall())
+    ties = {(r["channel_id"], r["start"]): r["presence"] for r in got if r["power"] == 40.0 and r["appliance"] == "purchase"}
+    assert ties == {("1", 8): 0.0, ("2", 16): 1.0, ("3", 16): 0.0}

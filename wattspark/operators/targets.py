@@ -15,18 +15,14 @@ def siblings(channels: DataFrame) -> DataFrame:
     return channels.select(*SITE, "channel_id").join(other, SITE).where("channel_id != sibling_id").select("channel_id", "sibling_id")
 
 
-def prefix_sums(series: DataFrame, channel: str, value: str) -> DataFrame:
-    """(channel, k, cum): the sum of all values before k, for k from 0 to n; a window's mean then needs two equi-joins."""
-    w = Window.partitionBy(channel).orderBy("k")
-    run = series.withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.select(channel, (F.col("k") + 1).alias("k"), F.col("_cum").alias("cum")).unionByName(series.select(channel).distinct().select(channel, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("cum")))
-
-
 def sibling_power(windows: DataFrame, mains: DataFrame, submeters: DataFrame, series: DataFrame) -> DataFrame:
     """Mean watts of each sub-meter over each mains window (JN-02).
 
     windows(channel_id, start, length); mains and submeters: rows of channels; series(channel_id, k, p) of sub-meters. Samples
-    floor((begin - t0) * fs) to ceil((end - t0) * fs), within the recording; no row where there is none.
+    floor((begin - t0) * fs) to ceil((end - t0) * fs), within the recording; no row where there is none. The mean leaves out nulls.
+
+    Each window adds its own samples, by k: differences of a channel's prefix sums carry its earlier samples' rounding, and a mean of just a threshold
+    falls on either side. A sample is read once a window that holds it.
     """
     m = mains.select(*SITE, "channel_id", F.col("fs").alias("_fs"), F.col("t0").alias("_t0"))
     s = submeters.select(*SITE, F.col("channel_id").alias("sibling_id"), "appliance", F.col("fs").alias("_sfs"), F.col("t0").alias("_st0"), F.col("n_samples").alias("_n"))
@@ -35,9 +31,9 @@ def sibling_power(windows: DataFrame, mains: DataFrame, submeters: DataFrame, se
     first = F.greatest(F.floor((begin - F.col("_st0")) * F.col("_sfs")), F.lit(0))
     last = F.least(F.ceil((end - F.col("_st0")) * F.col("_sfs")), F.col("_n"))
     spans = spans.select("channel_id", "start", "length", "sibling_id", "appliance", first.alias("_a"), last.alias("_b")).where("_b - _a >= 1")
-    cum = prefix_sums(series, "channel_id", "p").withColumnRenamed("channel_id", "sibling_id")
-    low, high = cum.select("sibling_id", F.col("k").alias("_a"), F.col("cum").alias("_ca")), cum.select("sibling_id", F.col("k").alias("_b"), F.col("cum").alias("_cb"))
-    return spans.join(low, ["sibling_id", "_a"]).join(high, ["sibling_id", "_b"]).select("channel_id", "start", "length", "sibling_id", "appliance", ((F.col("_cb") - F.col("_ca")) / (F.col("_b") - F.col("_a"))).alias("watts"))
+    samples = spans.withColumn("k", F.explode(F.expr("sequence(_a, _b - 1)"))).join(series.select(F.col("channel_id").alias("sibling_id"), "k", "p"), ["sibling_id", "k"])
+    w = Window.partitionBy("channel_id", "start", "length", "sibling_id", "appliance").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return samples.withColumn("watts", F.avg("p").over(w)).where("k = _b - 1").select("channel_id", "start", "length", "sibling_id", "appliance", "watts")
 
 
 def activation_overlap(windows: DataFrame, activations: DataFrame) -> DataFrame:
