@@ -83,20 +83,25 @@ def re_im(x, n: int) -> Column:
 
 
 def harmonic_lowpass(x, n: int) -> Column:
-    """The signal of the first n bins of its real DFT; the mean counts as one (RP-02)."""
-    x = col(x)
-    size = F.size(x)
-    z = dft(x, n)
+    """The signal of the first n bins of its real DFT; the mean counts as one (RP-02).
+
+    The bins are computed once a row, and so is x: where the result is exploded, Spark also filters by its size below joins, with x written out.
+    """
+
+    def signal(x, z):
+        size = F.size(x)
+
+        def at(k):
+            def term(c, h):
+                turn = 2 * math.pi * h * k / size
+                once = (h == 0) | (2 * h == size)
+                return F.when(2 * h <= size, F.when(once, 1.0).otherwise(2.0) * (c["re"] * F.cos(turn) - c["im"] * F.sin(turn))).otherwise(0.0)
 
-    def at(k):
-        def term(c, h):
-            turn = 2 * math.pi * h * k / size
-            once = (h == 0) | (2 * h == size)
-            return F.when(2 * h <= size, F.when(once, 1.0).otherwise(2.0) * (c["re"] * F.cos(turn) - c["im"] * F.sin(turn))).otherwise(0.0)
+            return total(F.transform(z, term)) / size
 
-        return total(F.transform(z, term)) / size
+        return F.transform(x, lambda _, k: at(k))
 
-    return F.transform(F.sequence(F.lit(0), size - 1), at)
+    return let(col(x), lambda a: let(dft(a, n), lambda z: signal(a, z)))
 
 
 def harmonics(x, n: int, normalize: bool = True) -> Column:

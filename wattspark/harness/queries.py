@@ -618,7 +618,9 @@ CY = "cy AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[]
 
 
 def long(df, column: str, keys=("vec_id",), name="k", n=5):
-    return df.select(*keys, F.posexplode(column).alias(name, column)).withColumn(column, r(column, n))
+    """Points as rows. The outer form, without its rows of no point: for the inner one Spark computes the array twice, in a filter by its size below joins too."""
+    points = df.select(*keys, F.posexplode_outer(column).alias(name, column)).where(F.col(name).isNotNull())
+    return points.withColumn(column, r(column, n))
 
 
 @query(f"WITH {CY} SELECT vec_id, round(avg(v * i), 7) AS p, round(sqrt(avg(v * v)) * sqrt(avg(i * i)), 7) AS s, round(sqrt(avg(v * v)), 6) AS vrms, round(sqrt(greatest(avg(v * v) * avg(i * i) - avg(v * i) * avg(v * i), 0)), 6) AS q, round(avg(v * i) / greatest(sqrt(avg(v * v)) * sqrt(avg(i * i)), 1e-12), 5) AS pf FROM lg GROUP BY vec_id")
